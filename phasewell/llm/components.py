@@ -26,7 +26,7 @@ SHINGLE = 5
 #: Two sets link when 100 * intersection >= LINK * union.
 LINK = 80
 #: Pivots of a bucket in each round; the last value stays.
-PIVOTS = (1, 8, 64, 512, 4096)
+PIVOTS = (8, 64, 512, 4096)
 
 
 def shingle_sets(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -130,30 +130,34 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_rounds(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(d, c) of all classes with a link. rows: (key, d), distinct; classes: (d, n, p0..p3)."""
-    known: DataFrame | None = None  # all links found so far
-    labels: DataFrame | None = None
+    """(d, c) of all classes with a link. rows: (key, d), distinct; classes: (d, n, p0..p3).
+
+    Before the rounds, every class meets the one pivot with which it shares most keys: that joins
+    most near copies for one comparison each.
+    """
+    side = lambda x: classes.select(F.col("d").alias(x), F.struct("n", "p0", "p1", "p2", "p3").alias(f"s{x}"))
+
+    def compared(met: DataFrame) -> DataFrame:
+        near = met.join(side("a"), "a").join(side("b"), "b").where(may_link("sa", "sb")).select("a", "b")
+        return checkpoint(verified(near, texts))
+
+    first = rows.groupBy("key").agg(F.min("d").alias("pd"))
+    shares = rows.join(first, "key").where("d <> pd").groupBy("d", "pd").agg(F.count(F.lit(1)).alias("k"))
+    best = shares.groupBy("d").agg(F.max(F.struct("k", "pd")).alias("m")).select("d", "m.pd")
+    known = compared(best.selectExpr("least(d, pd) as a", "greatest(d, pd) as b").distinct())
     left = rows.select("key", "d")
+    labels: DataFrame | None = None
     for count in [*PIVOTS, *[PIVOTS[-1]] * 1000]:
-        if labels is None:
-            tagged = left.withColumn("c", F.col("d"))
-        else:
-            tagged = left.join(labels, "d", "left").select("key", "d", F.coalesce("c", "d").alias("c"))
+        if not known.isEmpty():
+            labels = checkpoint(components(known))
+        tagged = left.withColumn("c", F.col("d")) if labels is None else left.join(labels, "d", "left").select("key", "d", F.coalesce("c", "d").alias("c"))
         mixed = tagged.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
         tagged = checkpoint(tagged.join(mixed, "key"))
         if tagged.isEmpty():
             break
-        if count == 1:
-            pivots = tagged.groupBy("key").agg(F.min("d").alias("d")).join(tagged, ["key", "d"]).select("key", F.col("d").alias("pd"), F.col("c").alias("pc"))
-        else:
-            order = Window.partitionBy("key").orderBy("d")
-            pivots = tagged.withColumn("r", F.row_number().over(order)).where(f"r <= {count}").select("key", F.col("d").alias("pd"), F.col("c").alias("pc"))
-        pivots = checkpoint(pivots)
+        order = Window.partitionBy("key").orderBy("d")
+        pivots = checkpoint(tagged.withColumn("r", F.row_number().over(order)).where(f"r <= {count}").select("key", F.col("d").alias("pd"), F.col("c").alias("pc")))
         met = tagged.join(pivots, "key").where("c <> pc").selectExpr("least(d, pd) as a", "greatest(d, pd) as b").distinct()
-        side = lambda x: classes.select(F.col("d").alias(x), F.struct("n", "p0", "p1", "p2", "p3").alias(f"s{x}"))  # noqa: E731, B023
-        near = met.join(side("a"), "a").join(side("b"), "b").where(may_link("sa", "sb")).select("a", "b")
-        found = checkpoint(verified(near, texts))
-        known = found if known is None else known.unionByName(found)
-        labels = checkpoint(components(known)) if not known.isEmpty() else None
+        known = known.unionByName(compared(met))
         left = tagged.select("key", "d").join(pivots.selectExpr("key", "pd as d"), ["key", "d"], "left_anti")
     return labels if labels is not None else rows.sparkSession.createDataFrame([], "d bigint, c bigint")

@@ -59,7 +59,7 @@ def band_starts(largest: int) -> np.ndarray:
 def allocation(largest: int) -> tuple[int, int, int]:
     """(segments of allowance 2, of allowance 1, surplus g) for sets up to this size."""
     need = 2 * largest // 9 + 1
-    surplus = 2 + need // 8
+    surplus = 3 + need // 16
     total = need + surplus
     best = None
     for two in range(total // 2 + 1):
@@ -160,15 +160,16 @@ def classes_of(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -
     keyed = docs.select(row_key(id_column, text).alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sets = checkpoint(set_table(keyed))
     classes = checkpoint(sets.where("n > 0").groupBy("d").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")]))
-    keys = key_table(keyed)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1").select("key", "sets")
+    # dealt out once, for the counts and for the rows: both read the same exchange
+    keys = key_table(keyed).repartition("key")
+    shared = keys.groupBy("key").agg(F.count("way").alias("sets"), F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1").select("key", "sets")
     rows = checkpoint(keys.join(shared, "key").distinct())
     hot = rows.where(f"sets > {HOT}")
     over = hot.groupBy("d", "way").agg(F.count(F.lit(1)).alias("skipped")).where("skipped > way % 100000").select("d", "way")
     followed = rows.where(f"sets <= {HOT}").select("key", "d").unionByName(hot.join(over, ["d", "way"], "left_semi").select("key", "d"))
     followed = checkpoint(followed.distinct())
     wanted = followed.select("d").distinct().join(classes.select("d", "row"), "d")
-    texts = checkpoint(keyed.select("row", "text").join(wanted, "row").groupBy("d").agg(F.first("text").alias("text")))
+    texts = checkpoint(keyed.select("row", "text").join(wanted, "row").groupBy("row", "d").agg(F.first("text").alias("text")).select("d", "text"))
     return sets, link_rounds(followed, classes, texts)
 
 

@@ -147,7 +147,7 @@ def clusters(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     keyed = docs.select(row_key(id_column, text).alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     places = checkpoint(paragraph_table(keyed))
     classes = checkpoint(places.groupBy("d").agg(F.min(F.struct("row", "paragraph")).alias("at"), *[F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")]))
-    keys = key_table(keyed)
+    keys = key_table(keyed).repartition("key")
     shared = keys.groupBy("key").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1").select("key")
     rows = checkpoint(keys.join(shared, "key").distinct())
     wanted = rows.select("d").distinct().join(classes.select("d", "at.row", "at.paragraph"), "d")

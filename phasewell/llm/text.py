@@ -109,11 +109,6 @@ class Words:
         return one[self.ids] if len(one) else np.zeros(0, np.uint64)
 
 
-def ascii_lower_is_safe() -> bool:
-    """Arrow lowers ASCII letters only; kept as a function so that a test pins it."""
-    return pc.ascii_lower(pa.array(["AÉK"])).to_pylist() == ["aÉK"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising bit mixer of 64-bit integers (wraps around)."""
     x = x ^ (x >> np.uint64(30))
