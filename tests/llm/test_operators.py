@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -29,6 +30,7 @@ def edited(text: str, changes: int, seed: int) -> str:
     return " ".join(w)
 
 
+@cache
 def corpus() -> list[tuple]:
     base = prose(120, 1)
     passage = prose(60, 2)
