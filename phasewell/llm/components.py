@@ -47,18 +47,31 @@ def digests(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return mix(out + n.astype(np.uint64)).view(np.int64)
 
 
-def parities(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Four words of parity bits for each set: the number of bits in which two sets' parities differ
-    is at most the size of their symmetric difference."""
-    out = np.zeros((len(offsets) - 1, 4), np.uint64)
-    h = mix(values ^ np.uint64(0x5851F42D4C957F2D))
-    bit = np.uint64(1) << (h & np.uint64(63))
-    word = (h >> np.uint64(6)) & np.uint64(3)
-    full = np.flatnonzero(np.diff(offsets))
-    for k in range(4):
-        if len(full):
-            out[full, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), offsets[:-1][full])
-    return [out[:, k].view(np.int64).copy() for k in range(4)]
+#: Names of the parity columns, their 64-bit words, and the sizes above which a set has them.
+PARITIES = (("p4", 4, 0), ("p16", 16, 250), ("p64", 64, 1200))
+PARITY_SCHEMA = ", ".join(f"{name} array<bigint>" for name, *_ in PARITIES)
+
+
+def parities(values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """Parity bits of each set, wider ones for larger sets (null for sets too small to need them).
+
+    Two sets' parities differ in at most as many bits as the sets differ in elements. Values are
+    sorted within a set, so that the word of a value, its leading bits, changes in order.
+    """
+    n, out = np.diff(offsets), []
+    bit = np.uint64(1) << (mix(values ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(63))
+    for _, words, above in PARITIES:
+        has = (n > above) | (above == 0)
+        inside = np.repeat(has, n)
+        owner = np.repeat(np.cumsum(has) - 1, n)[inside]
+        slot = owner * words + (values[inside] >> np.uint64(64 - words.bit_length() + 1)).astype(np.int64)
+        flat = np.zeros(int(has.sum()) * words, np.uint64)
+        if len(slot):
+            first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+            flat[slot[first]] = np.bitwise_xor.reduceat(bit[inside], first)
+        ends = np.concatenate([[0], np.cumsum(np.where(has, words, 0))]).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)), mask=pa.array(~has)))
+    return out
 
 
 def may_link(a: str = "a", b: str = "b") -> str:
@@ -66,8 +79,8 @@ def may_link(a: str = "a", b: str = "b") -> str:
 
     Of sizes x and y, linked sets differ in at most (x + y) / 9 elements.
     """
-    bits = " + ".join(f"bit_count({a}.p{k} ^ {b}.p{k})" for k in range(4))
-    return f"100 * least({a}.n, {b}.n) >= {LINK} * greatest({a}.n, {b}.n) AND 9 * ({bits}) <= {a}.n + {b}.n"
+    differ = [f"coalesce(9 * aggregate(zip_with({a}.{p}, {b}.{p}, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v) <= {a}.n + {b}.n, true)" for p, *_ in PARITIES]
+    return f"100 * least({a}.n, {b}.n) >= {LINK} * greatest({a}.n, {b}.n) AND " + " AND ".join(differ)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -130,12 +143,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_rounds(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(d, c) of all classes with a link. rows: (key, d), distinct; classes: (d, n, p0..p3).
+    """(d, c) of all classes with a link. rows: (key, d), distinct; classes: (d, n, parities).
 
     Before the rounds, every class meets the one pivot with which it shares most keys: that joins
     most near copies for one comparison each.
     """
-    side = lambda x: classes.select(F.col("d").alias(x), F.struct("n", "p0", "p1", "p2", "p3").alias(f"s{x}"))
+    side = lambda x: classes.select(F.col("d").alias(x), F.struct("n", *[p for p, *_ in PARITIES]).alias(f"s{x}"))
 
     def compared(met: DataFrame) -> DataFrame:
         near = met.join(side("a"), "a").join(side("b"), "b").where(may_link("sa", "sb")).select("a", "b")

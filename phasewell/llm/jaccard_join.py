@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import digests, link_rounds, parities, shingle_sets
+from .components import PARITIES, PARITY_SCHEMA, digests, link_rounds, parities, shingle_sets
 from .text import checkpoint, filled, mix, row_key, slices, table
 
 #: Sets behind a key beyond which it is skipped where the surplus allows it.
@@ -116,15 +116,15 @@ def keys_of(values: np.ndarray, offsets: np.ndarray, band: np.ndarray, starts: n
 
 
 def set_table(keyed: DataFrame) -> DataFrame:
-    """(row, d, n, p0..p3) of each row of keyed (row, text)."""
+    """(row, d, n, parities) of each row of keyed (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 values, at = shingle_sets(filled(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(digests(values, at)), pa.array(np.diff(at)), *map(pa.array, parities(values, at))], ["row", "d", "n", "p0", "p1", "p2", "p3"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(digests(values, at)), pa.array(np.diff(at)), *parities(values, at)], ["row", "d", "n", *[p for p, *_ in PARITIES]])
 
-    return keyed.select("row", "text").mapInArrow(run, "row bigint, d bigint, n bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint")
+    return keyed.select("row", "text").mapInArrow(run, "row bigint, d bigint, n bigint, " + PARITY_SCHEMA)
 
 
 def key_table(keyed: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def classes_of(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -
     """(sets, labels): sets has a row per row of docs (id, row, d, n ...); labels (d, c) those with a link."""
     keyed = docs.select(row_key(id_column, text).alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sets = checkpoint(set_table(keyed))
-    classes = checkpoint(sets.where("n > 0").groupBy("d").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")]))
+    classes = checkpoint(sets.where("n > 0").groupBy("d").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", *[p for p, *_ in PARITIES])]))
     # dealt out once, for the counts and for the rows: both read the same exchange
     keys = key_table(keyed).repartition("key")
     shared = keys.groupBy("key").agg(F.count("way").alias("sets"), F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1").select("key", "sets")

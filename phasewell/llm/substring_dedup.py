@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import digests, link_rounds, parities, shingle_sets
+from .components import PARITIES, PARITY_SCHEMA, digests, link_rounds, parities, shingle_sets
 from .text import checkpoint, filled, mix, row_key, slices, table
 
 #: Fewer words are no passage.
@@ -89,7 +89,7 @@ def band_keys(values: np.ndarray, offsets: np.ndarray, n: int, rows: int) -> np.
 
 
 def paragraph_table(keyed: DataFrame) -> DataFrame:
-    """(row, paragraph, start, end, n_words, d, n, p0..p3) of each long line of keyed (row, text)."""
+    """(row, paragraph, start, end, n_words, d, n, parities) of each long line of keyed (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,11 +98,11 @@ def paragraph_table(keyed: DataFrame) -> DataFrame:
                 values, at = shingle_sets(lines)
                 size = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row").take(pa.array(owner)), pa.array(number), pa.array(start), pa.array(start + size), pa.array(words), pa.array(digests(values, at)), pa.array(np.diff(at)), *map(pa.array, parities(values, at))],
-                    ["row", "paragraph", "start", "end", "n_words", "d", "n", "p0", "p1", "p2", "p3"],
+                    [part.column("row").take(pa.array(owner)), pa.array(number), pa.array(start), pa.array(start + size), pa.array(words), pa.array(digests(values, at)), pa.array(np.diff(at)), *parities(values, at)],
+                    ["row", "paragraph", "start", "end", "n_words", "d", "n", *[p for p, *_ in PARITIES]],
                 )
 
-    return keyed.select("row", "text").mapInArrow(run, "row bigint, paragraph bigint, start bigint, end bigint, n_words bigint, d bigint, n bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint")
+    return keyed.select("row", "text").mapInArrow(run, "row bigint, paragraph bigint, start bigint, end bigint, n_words bigint, d bigint, n bigint, " + PARITY_SCHEMA)
 
 
 def key_table(keyed: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def clusters(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     """
     keyed = docs.select(row_key(id_column, text).alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     places = checkpoint(paragraph_table(keyed))
-    classes = checkpoint(places.groupBy("d").agg(F.min(F.struct("row", "paragraph")).alias("at"), *[F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")]))
+    classes = checkpoint(places.groupBy("d").agg(F.min(F.struct("row", "paragraph")).alias("at"), *[F.first(c).alias(c) for c in ("n", *[p for p, *_ in PARITIES])]))
     keys = key_table(keyed).repartition("key")
     shared = keys.groupBy("key").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1").select("key")
     rows = checkpoint(keys.join(shared, "key").distinct())
