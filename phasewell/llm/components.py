@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import Words, checkpoint, distinct_sets, mix, windows
+from .text import Words, checkpoint, distinct_sets, filled, mix, slices, windows
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= LINK * union.
@@ -83,6 +84,27 @@ def may_link(a: str = "a", b: str = "b") -> str:
     return f"100 * least({a}.n, {b}.n) >= {LINK} * greatest({a}.n, {b}.n) AND " + " AND ".join(differ)
 
 
+def packed(keyed: DataFrame) -> DataFrame:
+    """keyed (row, text) with each text compressed, for texts that move between tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in slices(batch, "text"):
+                small = [pack(x) for x in filled(part.column("text")).cast(pa.large_binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(small, pa.binary())], ["row", "text"])
+
+    return keyed.select("row", "text").mapInArrow(run, "row bigint, text binary")
+
+
+def unpacked(texts: pa.Array) -> pa.Array:
+    """Texts, compressed by ``packed`` or plain."""
+    if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type):
+        unpack = zstandard.ZstdDecompressor().decompress
+        return pa.array([unpack(x) for x in texts.to_pylist()], pa.large_binary()).cast(pa.large_string())
+    return texts.cast(pa.large_string())
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) of pairs whose shingle sets link; texts has (d, text)."""
 
@@ -92,8 +114,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 2000)
                 a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
                 ids, first, where = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
-                both = pa.concat_arrays([part.column("ta").cast(pa.large_string()), part.column("tb").cast(pa.large_string())])
-                values, at = shingle_sets(both.take(pa.array(first)))
+                both = pa.concat_arrays([part.column("ta"), part.column("tb")]).take(pa.array(first))
+                values, at = shingle_sets(unpacked(both))
                 keep = linked(values, at, where[: len(a)], where[len(a) :])
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 

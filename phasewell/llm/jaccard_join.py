@@ -2,8 +2,8 @@
 
 A document is the set of its 5-word shingles; two documents link at Jaccard 0.8. Sets are put in
 size bands (each 1.25 times as wide as the one before); a set is indexed in its own band and in the
-next one, which together hold all partners. In a band, the larger set bounds the number H of
-elements in which linked sets differ. Shingles are hashed into m segments; segment i gets an
+one below, so that a pair meets in the smaller set's band. The band bounds the number H of elements
+in which linked sets differ. Shingles are hashed into m segments; segment i gets an
 allowance of 1 (equal subsets share a key) or 2 (also subsets that differ by one element share one:
 each set adds keys for its one-deletion neighbourhood). If the allowances sum to H + 1 + g, linked
 sets agree on segments worth g + 1 at least. ``allocation`` picks the number of segments of each
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import PARITIES, PARITY_SCHEMA, digests, link_rounds, parities, shingle_sets
+from .components import PARITIES, PARITY_SCHEMA, digests, link_rounds, packed, parities, shingle_sets
 from .text import checkpoint, filled, mix, row_key, slices, table
 
 #: Sets behind a key beyond which it is skipped where the surplus allows it.
@@ -48,7 +48,7 @@ COMMON = 0.2
 
 
 def band_starts(largest: int) -> np.ndarray:
-    """Smallest size of each band up to one that holds ``largest`` and the one after it."""
+    """Smallest size of each band up to the one after that of ``largest``."""
     starts = [1]
     while starts[-1] <= largest * 1.25 + 2:
         starts.append(starts[-1] * 5 // 4 + 1)
@@ -57,8 +57,9 @@ def band_starts(largest: int) -> np.ndarray:
 
 @lru_cache(maxsize=4096)
 def allocation(largest: int) -> tuple[int, int, int]:
-    """(segments of allowance 2, of allowance 1, surplus g) for sets up to this size."""
-    need = 2 * largest // 9 + 1
+    """(segments of allowance 2, of allowance 1, surplus g) for pairs whose smaller set has up to
+    this size: with sizes x <= y <= 1.25 x they differ in (x + y) / 9 <= x / 4 elements at most."""
+    need = largest // 4 + 1
     surplus = 3 + need // 16
     total = need + surplus
     best = None
@@ -148,7 +149,7 @@ def key_table(keyed: DataFrame) -> DataFrame:
                 values, at, d = values[inside], np.concatenate([[0], np.cumsum(n[pick])]), d[pick]
                 starts = band_starts(int(n[pick].max()))
                 own = np.searchsorted(starts, n[pick], side="right") - 1
-                for band in (own, own + 1):
+                for band in (own, np.maximum(own - 1, 0)):
                     key, sets, left = keys_of(values, at, band, starts)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(d[sets]), pa.array((band[sets] * 100_000 + left).astype(np.int32))], ["key", "d", "way"])
 
@@ -169,7 +170,7 @@ def classes_of(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -
     followed = rows.where(f"sets <= {HOT}").select("key", "d").unionByName(hot.join(over, ["d", "way"], "left_semi").select("key", "d"))
     followed = checkpoint(followed.distinct())
     wanted = followed.select("d").distinct().join(classes.select("d", "row"), "d")
-    texts = checkpoint(keyed.select("row", "text").join(wanted, "row").groupBy("row", "d").agg(F.first("text").alias("text")).select("d", "text"))
+    texts = checkpoint(packed(keyed).join(wanted, "row").groupBy("row", "d").agg(F.first("text").alias("text")).select("d", "text"))
     return sets, link_rounds(followed, classes, texts)
 
 

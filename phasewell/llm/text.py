@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that the cluster names.
+    """Cut lineage: write a table into the shared folder, compressed, and read it again.
 
-    A folder of our own is set only where none is configured (tests on one machine).
+    A lost executor then costs the tasks that it ran, and later readers see one fixed result.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for tables between stages."""
+    """The shared folder for tables between stages.
+
+    A folder of our own is set only where none is configured (tests on one machine).
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
