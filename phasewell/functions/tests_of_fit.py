@@ -37,15 +37,14 @@ def _tail(x: float, df: float) -> float | None:
     return min(1.0, out)
 
 
-@F.pandas_udf("double")
-def _chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([_tail(a, b) for a, b in zip(x, df, strict=True)], dtype="float64")
-
-
 def chi2_sf(x: Column, df: Column | int) -> Column:
     """P-value of a chi-square statistic. Spark has no erfc, so this is the one batch UDF here."""
     df = F.lit(df) if isinstance(df, int) else df
-    return F.nanvl(_chi2_sf(x.cast("double"), df.cast("double")), F.lit(None).cast("double"))
+
+    def tails(x: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([_tail(a, b) for a, b in zip(x, df, strict=True)], dtype="float64")
+
+    return F.nanvl(F.pandas_udf(tails, "double")(x.cast("double"), df.cast("double")), F.lit(None).cast("double"))
 
 
 def chi2_sf_even(x: Column, df: Column) -> Column:

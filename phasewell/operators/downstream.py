@@ -172,11 +172,11 @@ def raw_allele_events(alleles: DataFrame, membership: DataFrame, by: list[str])
 
 
 def switching_pair(tables: DataFrame, by: list[str], transcript: str = "transcript") -> DataFrame:
-    """The transcripts that lose and gain most usage between haplotypes."""
+    """The transcripts that lose and gain most usage between haplotypes; ties by name."""
     once = tables.groupBy(*by, transcript).agg(F.sum("hapA").alias("a"), F.sum("hapB").alias("b"))
     group = Window.partitionBy(*by)
     share = lambda c: F.col(c) / F.nullif(F.sum(c).over(group), F.lit(0.0))
-    delta = once.withColumn("delta", share("b") - share("a")).where("delta IS NOT NULL")
+    delta = once.withColumn("delta", F.round(share("b") - share("a"), 9)).where("delta IS NOT NULL")
     pick = F.struct("delta", transcript)
     return delta.groupBy(*by).agg(F.min(pick).alias("lo"), F.max(pick).alias("hi")).select(*by, F.col(f"lo.{transcript}").alias("down"), F.col("lo.delta").alias("down_delta"), F.col(f"hi.{transcript}").alias("up"), F.col("hi.delta").alias("up_delta"))
 
