@@ -31,8 +31,9 @@ KEEP_AT = 0.5
 EM_ROUNDS = 200
 #: Laplace smoothing of the estimated vote tables, in texts.
 SMOOTH = 1.0
-#: What is believed of a rule before any text is seen: how often it votes on the right side.
-PRIOR_ACCURACY = 0.8
+#: What is believed of any rule before a text is seen: the shares of its votes (bad, none, good) in
+#: good and in bad texts. A bad vote is rare in good texts; a good vote says little.
+PRIOR_VOTES = {"good": (0.03, 0.30, 0.67), "bad": (0.30, 0.25, 0.45)}
 PRIOR_WEIGHT = 50.0
 PRIOR_GOOD = 0.8
 
@@ -148,7 +149,7 @@ def fit(counts: dict[int, int]) -> dict[int, float]:
     """Posterior probability of good for each vote pattern, by expectation-maximisation.
 
     Two latent classes; given the class, rules vote independently. Each rule has a table
-    P(vote | class), started and lightly held at PRIOR_ACCURACY so that the classes keep their
+    P(vote | class), started and lightly held at PRIOR_VOTES so that the classes keep their
     meaning; abstentions carry what the data say of them.
     """
     n = len(rules())
@@ -158,8 +159,7 @@ def fit(counts: dict[int, int]) -> dict[int, float]:
         return {}
     votes = (codes[:, None] // 3 ** np.arange(n - 1, -1, -1)[None, :]) % 3  # 0 bad, 1 none, 2 good
     prior = np.empty((2, n, 3))  # class 0 bad, 1 good
-    prior[1] = np.array([1 - PRIOR_ACCURACY, 0.5, PRIOR_ACCURACY]) / 1.5
-    prior[0] = prior[1][:, ::-1]
+    prior[1], prior[0] = PRIOR_VOTES["good"], PRIOR_VOTES["bad"]
     tables, good = prior.copy(), PRIOR_GOOD
     one_hot = np.eye(3)[votes]
     for _ in range(EM_ROUNDS):
