@@ -34,7 +34,10 @@ SMOOTH = 1.0
 #: What is believed of any rule before a text is seen: the shares of its votes (bad, none, good) in
 #: good and in bad texts. A bad vote is rare in good texts; a good vote says little.
 PRIOR_VOTES = {"good": (0.03, 0.30, 0.67), "bad": (0.30, 0.25, 0.45)}
-PRIOR_WEIGHT = 50.0
+#: Weight of that belief against the texts, as a share of them: alike at every size.
+PRIOR_SHARE = 0.005
+#: Log odds of good that the first round starts from: without votes, for a bad vote, for a good one.
+START = (1.0, -2.2, 0.2)
 PRIOR_GOOD = 0.8
 
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_letters bigint, n_code_points bigint, n_end_marks bigint, n_distinct_words bigint, n_upper bigint"
@@ -149,8 +152,8 @@ def fit(counts: dict[int, int]) -> dict[int, float]:
     """Posterior probability of good for each vote pattern, by expectation-maximisation.
 
     Two latent classes; given the class, rules vote independently. Each rule has a table
-    P(vote | class), started and lightly held at PRIOR_VOTES so that the classes keep their
-    meaning; abstentions carry what the data say of them.
+    P(vote | class), lightly held at PRIOR_VOTES. Rounds start from START, where a bad vote weighs
+    more than a good one, so that the classes keep their meaning; abstentions carry what the data say of them.
     """
     n = len(rules())
     codes = np.array(sorted(counts), np.int64)
@@ -162,11 +165,12 @@ def fit(counts: dict[int, int]) -> dict[int, float]:
     prior[1], prior[0] = PRIOR_VOTES["good"], PRIOR_VOTES["bad"]
     tables, good = prior.copy(), PRIOR_GOOD
     one_hot = np.eye(3)[votes]
-    for _ in range(EM_ROUNDS):
-        p = _posterior(votes, tables, good)
+    odds = START[0] + START[1] * (votes == 0).sum(1) + START[2] * (votes == 2).sum(1)
+    for k in range(EM_ROUNDS):
+        p = _posterior(votes, tables, good) if k else 1 / (1 + np.exp(-odds))
         new = (weight * p).sum() / weight.sum()
         for c, q in ((1, p), (0, 1 - p)):
-            seen = np.einsum("i,irv->rv", weight * q, one_hot) + SMOOTH / 3 + PRIOR_WEIGHT * prior[c]
+            seen = np.einsum("i,irv->rv", weight * q, one_hot) + SMOOTH / 3 + PRIOR_SHARE * weight.sum() * prior[c]
             tables[c] = seen / seen.sum(1, keepdims=True)
         moved, good = abs(new - good), min(max(new, 1e-6), 1 - 1e-6)
         if moved < 1e-9:
