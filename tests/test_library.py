@@ -69,7 +69,7 @@ def test_merge_and_overlap(spark):
 
 @pytest.mark.parametrize(("blocks", "introns", "kind", "event", "want"), [
     ([(0, 100)], [], "exon", (40, 60), "include"), ([(0, 40), (60, 100)], [(40, 60)], "exon", (40, 60), "skip"), ([(45, 50)], [], "exon", (40, 80), "unobserved"),
-    ([(0, 50), (150, 200)], [(50, 150)], "junction", (50, 150), "include"), ([(0, 50), (150, 200)], [(50, 150)], "junction", (50, 169), "unobserved"), ([(0, 200)], [], "junction", (50, 150), "skip"), (None, None, "exon", (1, 9), "unobserved"),
+    ([(0, 50), (150, 200)], [(50, 150)], "junction", (50, 150), "include"), ([(0, 50), (150, 200)], [(50, 150)], "junction", (50, 169), "include"), ([(0, 200)], [], "junction", (50, 150), "skip"), (None, None, "exon", (1, 9), "unobserved"),
 ])
 def test_event_judgement(spark, blocks, introns, kind, event, want):
     df = spark.createDataFrame([(blocks, introns)], f"b {IV}, i {IV}")
