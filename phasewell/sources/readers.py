@@ -83,8 +83,9 @@ def reference_tiles(spark: SparkSession, path: str, tile: int = 10_000) -> DataF
     """
     records = spark.read.option("lineSep", ">").text(path).where(F.col("value") != "")
     parts = records.select(F.regexp_extract("value", r"^(\S+)", 1).alias("chrom"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", "").alias("s"))
-    at = parts.withColumn("start", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("s") - 1) / tile).cast("int"))) * tile)
-    return at.select("chrom", F.col("start").cast("bigint").alias("start"), F.substring("s", F.col("start").cast("int") + 1, F.lit(tile)).alias("seq"))
+    at = parts.withColumn("start", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("s") - 1) / tile).cast("int"))))
+    first = F.col("start") * tile
+    return at.select("chrom", first.cast("bigint").alias("start"), F.substring("s", first.cast("int") + 1, F.lit(tile)).alias("seq"))
 
 
 def editing_sites(spark: SparkSession, path: str) -> DataFrame:
