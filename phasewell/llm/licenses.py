@@ -3,13 +3,14 @@ r"""Operator 6, license scans: diagonal voting between rolling word 3-grams and
 Every 3-gram of every text is joined with the 3-grams of the templates (a fixed, small table, sent
 to all tasks). A hit votes for the diagonal ``position in text - position in template``. Votes are
 counted per diagonal, diagonals next to each other are merged (a word more or less moves a match
-by one), and a merged span is kept if it covers enough of the template. Hits join on the words
-themselves, so a counted vote is already verified word for word. A base phrase is found where one
-diagonal has all its votes.
+by one), and a merged span is kept if it covers enough of the template. The hash of a 3-gram is
+made of its words' numbers in the templates' vocabulary, so that equal hashes are equal words and a
+counted vote is already verified word for word. A base phrase is found where one diagonal has all
+its votes.
 
-Scale: the k-grams stay in the task that reads them, and only hits are shuffled: narrow rows, first
-combined on the map side, keyed by a hash of (doc_id, text) besides the template, so that hot
-sources and common license lines spread over all tasks. Texts are never shuffled.
+Scale: one pass over the texts gives a narrow table of word counts and 3-grams of template words;
+texts are never shuffled. Hits are combined on the map side, keyed by a hash of (doc_id, text)
+besides the template, so that hot sources and common license lines spread over all tasks.
 
 Edge cases: a null text counts as empty; rows equal in doc_id and text get equal results (votes are
 counted once per place); texts of fewer than three words have no hit; extra columns are kept by
@@ -18,10 +19,16 @@ counted once per place); texts of fewer than three words have no hit; extra colu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import string
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import row_key, table
+from .text import Words, checkpoint, filled, row_key, slices, table
 
 K = 3
 #: Diagonals at most this far apart are one match.
@@ -58,19 +65,21 @@ TEMPLATES = [
     ("all-rights-reserved", "All rights reserved"),
 ]
 
-#: What stands between words, letters in either case, in Java's and RE2's notation.
+#: What stands between words once A-Z are in lower case, in RE2's notation.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: Each byte of a text: a space where no word has it, A-Z in lower case, else itself.
+BYTES = np.array([c + 32 if chr(c) in string.ascii_uppercase else c if c >= 128 or chr(c) in string.ascii_lowercase + string.digits else 32 for c in range(256)], np.uint8)
 
-def words(text: Column) -> Column:
-    """Lower-cased words of a text (not null).
 
-    ``lower`` also changes letters beyond A-Z; of these only U+0130 and U+212A give ASCII letters,
-    so texts with one of them are lowered by ``translate`` instead.
-    """
-    upper, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    low = F.when(F.contains(text, F.lit("İ")) | F.contains(text, F.lit("K")), F.translate(text, upper, small)).otherwise(F.lower(text))
-    return F.filter(F.split(low, GAPS), lambda w: w != "")
+def spaced(texts: pa.Array) -> pa.Array:
+    """Texts (large strings without nulls) in lower case, with spaces for all that is between words."""
+    _, ends, data = texts.buffers()
+    if not len(texts) or data is None:
+        return texts
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    inside = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(BYTES[inside]))
 
 
 def _python_words(text: str) -> list[str]:
@@ -87,44 +96,85 @@ def template_rows() -> list[tuple[int, str, str, int, int, bool]]:
     return out
 
 
-def hits(keyed: DataFrame, text: str, key: str) -> DataFrame:
-    """Distinct (key, template, label, base, grams, at, diagonal) of all 3-grams that a template has."""
-    templates = F.broadcast(keyed.sparkSession.createDataFrame(template_rows(), "template int, label string, gram string, place int, grams int, base boolean"))
-    listed = keyed.select(F.col(key), words(F.col(text)).alias("_c_w")).where(F.size("_c_w") >= K)
-    grams = F.transform(F.sequence(F.lit(0), F.size("_c_w") - K), lambda i: F.concat_ws(" ", *[F.get(F.col("_c_w"), i + j) for j in range(K)]))
-    rolling = listed.select(key, F.posexplode(grams).alias("at", "gram"))
-    found = rolling.join(templates, "gram")
-    return found.select(key, "template", "label", "base", "grams", "place", "at", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+def vocabulary() -> list[str]:
+    return sorted({w for _, text in BASE + TEMPLATES for w in _python_words(text)})
+
 
+def template_table(spark: SparkSession) -> DataFrame:
+    """template_rows with the hash of each gram: its words' numbers in the vocabulary, from 1, as digits."""
+    number = {w: i for i, w in enumerate(vocabulary(), 1)}
+    base = len(number) + 1
+    rows = [(n, label, sum(number[w] * base ** (K - 1 - j) for j, w in enumerate(gram.split(" "))), *rest) for n, label, gram, *rest in template_rows()]
+    return spark.createDataFrame(rows, "template int, label string, hash bigint, place int, grams int, base boolean")
 
-def matches(keyed: DataFrame, text: str, key: str) -> DataFrame:
+
+def gram_table(keyed: DataFrame) -> DataFrame:
+    """(key, n_words, at, hash) of each row of keyed (key, text): places and hashes of the rolling k-grams.
+
+    The hash tells all k-grams of template words apart; a k-gram with any other word has none, since
+    no template can have it.
+    """
+    known = vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, base = pa.array(known, pa.large_string()), len(known) + 1
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = Words(spaced(filled(part.column("text"))))
+                number = pc.fill_null(pc.add(pc.index_in(w.words, value_set=words), 1), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                rolled = number[w.ids] if len(number) else np.zeros(0, np.int64)
+                starts = np.arange(max(0, len(rolled) - K + 1))
+                code, whole = np.zeros(len(starts), np.int64), np.ones(len(starts), bool)
+                for j in range(K):
+                    at = rolled[j : j + len(starts)]
+                    code, whole = code * base + at, whole & (at > 0)
+                starts = starts[whole]
+                owner = np.searchsorted(w.offsets, starts, side="right") - 1
+                inside = starts + K <= w.offsets[owner + 1]
+                starts, owner, code = starts[inside], owner[inside], code[whole][inside]
+                ends = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32))
+                at = pa.ListArray.from_arrays(ends, pa.array((starts - w.offsets[owner]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(w.counts), at, pa.ListArray.from_arrays(ends, pa.array(code))], ["key", "n_words", "at", "hash"])
+
+    return keyed.select("key", "text").mapInArrow(run, "key bigint, n_words bigint, at array<int>, hash array<bigint>")
+
+
+def hits(grams: DataFrame) -> DataFrame:
+    """Distinct (key, template, label, base, grams, place, at, diagonal) of all k-grams that a template has."""
+    rolling = grams.select("key", F.explode(F.arrays_zip("at", "hash")).alias("g")).select("key", "g.at", "g.hash")
+    found = rolling.join(F.broadcast(template_table(grams.sparkSession)), "hash")
+    return found.select("key", "template", "label", "base", "grams", "place", "at", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+
+
+def matches(grams: DataFrame) -> DataFrame:
     """(key, template, label, base, first, last, cover): verified matches."""
-    votes = hits(keyed, text, key).groupBy(key, "template", "label", "base", "grams", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
-    own = Window.partitionBy(key, "template").orderBy("diagonal")
+    votes = hits(grams).groupBy("key", "template", "label", "base", "grams", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
+    own = Window.partitionBy("key", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(own) > NEIGHBOURS).cast("int"), F.lit(1))
-    base = votes.where("base AND votes = grams").select(key, "template", "label", "base", F.col("diagonal").alias("first"), F.col("last"), F.lit(1.0).alias("cover"))
+    base = votes.where("base AND votes = grams").select("key", "template", "label", "base", F.col("diagonal").alias("first"), F.col("last"), F.lit(1.0).alias("cover"))
     merged = votes.where("NOT base").withColumn("run", apart)
     merged = merged.withColumn("run", F.sum("run").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy(key, "template", "label", "base", "grams", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+    merged = merged.groupBy("key", "template", "label", "base", "grams", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
     enough = merged.withColumn("cover", F.least(F.lit(1.0), F.col("votes") / F.col("grams"))).where(F.col("cover") >= COVER)
     return base.unionByName(enough.select(*base.columns))
 
 
 def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """docs with _c_n_words, _c_n_base, _c_first, _c_last, _c_base_labels, _c_labels, _c_score."""
-    keyed = docs.withColumn("_c_key", row_key(id_column, text))
-    counted = keyed.withColumn("_c_n_words", F.size(words(F.coalesce(F.col(text), F.lit("")))).cast("bigint"))
-    out = counted.join(_per_row(keyed.select("_c_key", F.coalesce(F.col(text), F.lit("")).alias("_c_text"))), "_c_key", "left").drop("_c_key")
+    key = row_key(id_column, text)
+    grams = checkpoint(gram_table(docs.select(key.alias("key"), F.col(text).alias("text"))))
+    counted = grams.groupBy("key").agg(F.first("n_words").alias("_c_n_words")).join(_per_row(grams), "key", "left")
+    out = docs.withColumn("_c_key", key).join(counted.withColumnRenamed("key", "_c_key"), "_c_key").drop("_c_key")
     return out.fillna({"_c_n_base": 0, "_c_base_labels": "", "_c_labels": "", "_c_score": 0.0})
 
 
-def _per_row(keyed: DataFrame) -> DataFrame:
-    """What was found in each row of keyed (_c_key, _c_text) that has a match."""
+def _per_row(grams: DataFrame) -> DataFrame:
+    """What was found in each row of grams that has a match."""
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     start = F.when(F.col("base"), F.col("first")).cast("bigint")
     return (
-        matches(keyed, "_c_text", "_c_key")
-        .groupBy("_c_key")
+        matches(grams)
+        .groupBy("key")
         .agg(
             F.count_if("base").alias("_c_n_base"),
             F.min(start).alias("_c_first"),
