@@ -150,17 +150,22 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large and small stars; each round is a checkpoint, the number of rounds grows with
     the logarithm of the longest path.
     """
+    def mark(edges: DataFrame) -> tuple:
+        """Number and two 64-bit digests of distinct edges, from one narrow pass."""
+        return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
     edges = checkpoint(links.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct())
+    before = mark(edges)
     while True:
         both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
         large = both.where("v > u").join(low, "u").selectExpr("v as u", "m as v").where("u <> v").distinct()
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").selectExpr("explode(array(struct(u, m), struct(v as u, m))) as e").selectExpr("e.u as u", "e.m as v").where("u <> v").distinct()
-        new = checkpoint(small)
-        changed = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
-        edges = new
-        if changed:
+        edges = checkpoint(small)
+        now = mark(edges)
+        same, before = now == before, now
+        if same:
             return edges.groupBy("u").agg(F.min("v").alias("c")).selectExpr("u as d", "c").unionByName(edges.selectExpr("v as d", "v as c").distinct()).groupBy("d").agg(F.min("c").alias("c"))
 
 
