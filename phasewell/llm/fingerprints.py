@@ -9,8 +9,8 @@ A fingerprint is ``<first 8 hex digits of the text's md5>:<kept hashes, sorted,
 Likeness is intersection over union of the kept hashes; where neither text has any, it is 1 for
 equal fingerprints and else 0.
 
-Everything is DataFrame functions; shingles never leave their row, so the only wide step is the one
-that pairs a document with the next one. It sorts texts once, in many id ranges: quantiles of the
+Everything is DataFrame functions; shingles never leave their row, sketches move with their texts,
+and the only wide step is the one that pairs a document with the next one. It sorts texts once, in many id ranges: quantiles of the
 ids, each cut evenly, so that a range holds about ``RANGE_ROWS`` rows; null ids are cut by row
 hash. A narrow table with the first row of each range links the ranges.
 
@@ -93,7 +93,8 @@ def _range_of(ids: DataFrame) -> Column:
 
 
 def with_next(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """Distinct (_f_id, _f_text) with _f_next: the text that follows by descending id, in a ring."""
+    """Distinct (_f_id, _f_text, _f_own) with _f_next and _f_next_own: the text that follows by
+    descending id, in a ring. _f_own is the text's sketch, made once and moved along with it."""
     rows = docs.select(F.col(id_column).alias("_f_id"), F.coalesce(F.col(text), F.lit("")).alias("_f_text")).withColumn("_f_key", row_key("_f_id", "_f_text"))
     ids = checkpoint(rows.select("_f_id", "_f_key").groupBy("_f_id", "_f_key").count())
     own = _range_of(ids)
@@ -102,11 +103,11 @@ def with_next(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     heads = ids.withColumn("_f_range", own).groupBy("_f_range").agg(F.max(place).alias("head"))
     ranks = Window.orderBy("_f_range")  # one narrow row for each range
     ring = heads.select("_f_range", F.coalesce(F.lead("head.key").over(ranks), F.first("head.key").over(ranks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_f_key"))
-    first_texts = rows.join(F.broadcast(ring) if ids.count() <= 10_000 * RANGE_ROWS else ring, "_f_key").groupBy("_f_range").agg(F.first("_f_text").alias("_f_head"))
+    first_texts = rows.join(F.broadcast(ring) if ids.count() <= 10_000 * RANGE_ROWS else ring, "_f_key").groupBy("_f_range").agg(F.first("_f_text").alias("_f_head")).withColumn("_f_head_own", sketch(F.col("_f_head")))
     inside = Window.partitionBy("_f_range").orderBy(*order)
     # equal rows stand side by side, and look past each other
-    pairs = rows.withColumn("_f_range", own).withColumn("_f_copy", F.row_number().over(inside) - F.rank().over(inside)).where("_f_copy = 0").withColumn("_f_lead", F.lead("_f_text").over(inside))
-    return pairs.join(first_texts, "_f_range", "left").select("_f_id", "_f_key", "_f_text", F.coalesce("_f_lead", "_f_head").alias("_f_next"))
+    pairs = rows.withColumn("_f_own", sketch(F.col("_f_text"))).withColumn("_f_range", own).withColumn("_f_copy", F.row_number().over(inside) - F.rank().over(inside)).where("_f_copy = 0").withColumn("_f_lead", F.lead("_f_text").over(inside)).withColumn("_f_lead_own", F.lead("_f_own").over(inside))
+    return pairs.join(first_texts, "_f_range", "left").select("_f_id", "_f_key", "_f_text", "_f_own", F.coalesce("_f_lead", "_f_head").alias("_f_next"), F.coalesce("_f_lead_own", "_f_head_own").alias("_f_next_own"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("_f_text"), F.lit(1), n - half), F.substring(F.col("_f_next"), F.lit(1), half))
     rows = with_next(docs).withColumn("_f_edited", edited)
-    rows = rows.withColumn("a", sketch(F.col("_f_text"))).withColumn("b", sketch(F.col("_f_edited"))).withColumn("c", sketch(F.col("_f_next")))
+    rows = rows.withColumn("a", F.col("_f_own")).withColumn("b", sketch(F.col("_f_edited"))).withColumn("c", F.col("_f_next_own"))
     rows = rows.withColumn("pa", fingerprint(F.col("_f_text"), F.col("a"))).withColumn("pb", fingerprint(F.col("_f_edited"), F.col("b"))).withColumn("pc", fingerprint(F.col("_f_next"), F.col("c")))
     near = lambda x: likeness(F.col("a"), F.col(x), F.col("pa"), F.col(f"p{x}"))
     return rows.select(
