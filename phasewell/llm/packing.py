@@ -1,10 +1,11 @@
 """Operator 5, best-fit packing: a configuration linear program over the length histogram.
 
 A configuration says how many pieces of each length share a sequence. The linear program (cover
-every length's count with the least number of configurations) is solved by multiplicative weights:
-each round prices lengths by their weights, a knapsack dynamic program finds the best
-configuration at these prices, and lengths that it covers lose weight. The mean of all rounds is
-scaled to cover, rounded down, and what rounding leaves goes through best-fit decreasing.
+every length's count with the least number of configurations) is solved by column generation: a
+knapsack dynamic program finds the best configurations at the present prices of lengths, simplex
+steps take them into the basis, until the gap to the prices' bound is met. The solution (at most
+one configuration per length) is rounded down, and what rounding leaves, less than one sequence of
+each configuration, goes through best-fit decreasing.
 
 Scale: tokenising and cutting happen where rows are read; only narrow piece rows are kept (in a
 reliable checkpoint, so that ranks stay the same if a task is run again). The driver sees the
@@ -19,7 +20,6 @@ doc_ids are packed like any other row; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import json
 import zlib
 from collections import Counter
@@ -38,9 +38,12 @@ from .text import checkpoint, filled, slices, table
 
 SEQUENCE = 1024
 END = 2
-#: Rounds of multiplicative weights at most, and the step of each.
-ROUNDS = 600
-STEP = 0.08
+#: The linear program is solved when it is proven to be within this share of its bound.
+GAP = 1e-4
+#: Columns that may enter the basis between two pricings.
+ENTER = 60
+#: How far prices are drawn towards length / size, pricing by pricing.
+PULLS = (0.9, 0.6, 0.3, 0.0)
 
 SPACE = "\\t-\\r \\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 #: A space beside other white space: such texts are tokenised whole.
@@ -179,65 +182,165 @@ def best_configuration(prices: np.ndarray, size: int) -> tuple[float, list[int]]
     return float(worth[size]), out
 
 
-def solve(counts: np.ndarray, size: int, rounds: int = ROUNDS, step: float = STEP) -> dict[tuple[int, ...], float]:
-    """Configuration -> how often to use it, so that every length is covered (fractional)."""
+def columns(prices: np.ndarray, size: int) -> tuple[float, list[tuple[float, dict[int, int]]]]:
+    """Worth of the best configuration, and for each priced length the best one that holds it."""
+    worth = np.zeros(size + 1)
+    taken = np.zeros(size + 1, np.int64)
+    for room in range(1, size + 1):
+        with_last = worth[room - 1 :: -1][:room] + prices[1 : room + 1]
+        k = int(np.argmax(with_last))
+        if with_last[k] > worth[room - 1] + 1e-15:
+            worth[room], taken[room] = with_last[k], k + 1
+        else:
+            worth[room] = worth[room - 1]
+    out = []
+    for length in np.flatnonzero(prices > 0).tolist():
+        config, room = Counter([length]), size - length
+        while room:
+            if taken[room]:
+                config[int(taken[room])] += 1
+            room -= int(taken[room]) or 1
+        out.append((float(prices[length] + worth[size - length]), dict(config)))
+    return float(worth[size]), out
+
+
+def first_basis(need: np.ndarray, lengths: np.ndarray, size: int) -> list[dict[int, int]]:
+    """As many configurations as lengths, which cover all of them: each uses up one length.
+
+    The longest that is left is filled up with the longest that fit, in fractions of sequences.
+    Each configuration holds a length that no later one has, so they are independent.
+    """
+    left = {int(n): float(x) for n, x in zip(lengths, need, strict=True)}
+    order = sorted(left, reverse=True)
+    out = []
+    while order:
+        config: dict[int, int] = {}
+        room = size
+        for n in order:
+            k = min(room // n, max(1, int(left[n])))
+            if k:
+                config[n] = k
+                room -= k * n
+        step, gone = min((left[n] / k, n) for n, k in config.items())
+        for n, k in config.items():
+            left[n] = max(0.0, left[n] - step * k)
+        order.remove(gone)
+        out.append(config)
+    return out
+
+
+def solve(counts: np.ndarray, size: int, gap: float = GAP) -> tuple[dict[tuple[int, ...], float], float]:
+    """(configuration -> how often to use it, lower bound): every length is covered (fractional).
+
+    Column generation with the simplex method. Every length is covered from the start
+    (``first_basis``) on, and the rounds end when the sequences used exceed
+    the bound of the prices (their worth of all pieces over the best configuration's worth) by no
+    more than two or ``gap`` of the bound. Prices are drawn by turns towards length / size, where
+    every full configuration is worth one; undrawn ones tell the optimum.
+    """
     lengths = np.flatnonzero(counts)
     lengths = lengths[lengths > 0]
-    if not len(lengths):
-        return {}
+    m = len(lengths)
+    if not m:
+        return {}, 0.0
     need = counts[lengths].astype(float)
-    log_weight = np.zeros(len(lengths))
-    used: Counter = Counter()
-    covered = np.zeros(len(lengths))
     at = {int(n): i for i, n in enumerate(lengths)}
-    spent = 0.0
-    for _ in range(rounds):
-        weight = np.exp(log_weight - log_weight.max())
+    basis: list[dict[int, int] | int] = [*first_basis(need, lengths, size)]
+    even = lengths / size
+    bound, turn, pivots = float(need @ even), 0, 0
+
+    def matrix() -> np.ndarray:
+        out = np.zeros((m, m))
+        for k, c in enumerate(basis):
+            if isinstance(c, int):
+                out[c, k] = -1.0
+            else:
+                out[[at[n] for n in c], k] = list(c.values())
+        return out
+
+    def afresh() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        inverse = np.linalg.inv(matrix())
+        price = np.array([0.0 if isinstance(c, int) else 1.0 for c in basis]) @ inverse
+        return inverse, np.maximum(inverse @ need, 0.0), price
+
+    inverse, used, price = afresh()
+
+    def enter(column: dict[int, int] | int) -> bool:
+        """Take a configuration (or the surplus of a length) into the basis, if that saves sequences."""
+        nonlocal pivots, price, inverse, used
+        if isinstance(column, int):
+            saved, way = -price[column], -inverse[:, column]
+        else:
+            own, n = [at[x] for x in column], np.array(list(column.values()), float)
+            saved, way = price[own] @ n - 1.0, inverse[:, own] @ n
+        if saved <= 1e-9:
+            return False
+        some = np.flatnonzero(way > 1e-9)
+        ratio = used[some] / way[some]
+        low = some[ratio <= ratio.min() + 1e-12]
+        out = int(low[np.argmax(way[low])])
+        step = used[out] / way[out]
+        used -= step * way
+        used[out] = step
+        np.maximum(used, 0.0, out=used)
+        row = inverse[out] / way[out]
+        price = price - saved * row
+        rows, cols = np.flatnonzero(way), np.flatnonzero(row)
+        if len(rows) * len(cols) < m * m // 4:
+            inverse[np.ix_(rows, cols)] -= np.outer(way[rows], row[cols])
+        else:
+            inverse -= np.outer(way, row)
+        inverse[out] = row
+        basis[out] = column
+        pivots += 1
+        if pivots % 100 == 0:  # against rounding errors
+            inverse, used, price = afresh()
+        return True
+
+    while used[[not isinstance(c, int) for c in basis]].sum() > bound + max(2.0, gap * bound):
+        pull = PULLS[turn % len(PULLS)]
+        turn += 1
+        # no price is above that of a sequence shared by copies of its length alone
+        drawn = pull * even + (1 - pull) * np.clip(price, 0.0, 1.0 / (size // lengths))
         prices = np.zeros(size + 1)
-        prices[lengths] = weight / need
-        _, config = best_configuration(prices, size)
-        have = Counter(at[x] for x in config)
-        # use it until the length that it fills fastest is filled by one step
-        times = min(need[i] / c for i, c in have.items())
-        for i, c in have.items():
-            gain = times * c / need[i]
-            covered[i] += gain
-            log_weight[i] -= step * gain
-        used[tuple(sorted(config, reverse=True))] += times
-        spent += times
-    least = covered.min()
-    if least <= 0:  # too few rounds for some lengths: they are left to best fit
-        least = max(1.0, float(np.median(covered)))
-    return {c: x / least for c, x in used.items()}
+        prices[lengths] = drawn
+        top, found = columns(prices, size)
+        bound = max(bound, float(need @ drawn) / top)
+        gains = sorted(((sum(price[at[n]] * c for n, c in x.items()) - 1.0, k) for k, (_, x) in enumerate(found)), reverse=True)
+        entered = sum(enter(found[k][1]) for gain, k in gains[:ENTER] if gain > 1e-9)
+        for i in np.flatnonzero(price < -1e-9).tolist():
+            entered += enter(i)
+        if not entered and pull == 0.0:
+            break  # no column saves anything: optimal
+    out: Counter = Counter()
+    for c, x in zip(basis, used.tolist(), strict=True):
+        if not isinstance(c, int) and x > 0:
+            out[tuple(sorted((n for n, k in c.items() for _ in range(k)), reverse=True))] += x
+    return dict(out), bound
 
 
 def best_fit(counts: np.ndarray, size: int) -> Counter:
-    """Best-fit decreasing of what is left: configuration -> number of sequences."""
-    rooms: dict[int, list[list[int]]] = {}
-    open_rooms: list[int] = []
-    import bisect
+    """Best-fit decreasing of what is left, on counts: configuration -> number of sequences."""
+    rooms: dict[int, Counter] = {size: Counter()}
+
+    def put(room: int, config: tuple[int, ...], n: int) -> None:
+        if n:
+            rooms.setdefault(room, Counter())[config] += n
 
     for length in range(size, 0, -1):
-        for _ in range(int(counts[length])):
-            k = bisect.bisect_left(open_rooms, length)
-            if k < len(open_rooms):
-                room = open_rooms[k]
-                bin_ = rooms[room].pop()
-                if not rooms[room]:
-                    del rooms[room]
-                    open_rooms.pop(k)
-            else:
-                room, bin_ = size, []
-            bin_.append(length)
-            left = room - length
-            if left:
-                if left not in rooms:
-                    rooms[left] = []
-                    bisect.insort(open_rooms, left)
-                rooms[left].append(bin_)
-            else:
-                rooms.setdefault(0, []).append(bin_)
-    return Counter(tuple(b) for bins in rooms.values() for b in bins)
+        left = int(counts[length])
+        while left:
+            room = min((r for r in rooms if r >= length and rooms[r]), default=size)
+            config, n = next(iter(rooms[room].items()), ((), left))
+            each = min(room // length, left)  # the fullest sequence stays the fullest until it is full
+            times = min(n, left // each)
+            if config:
+                rooms[room][config] -= times
+                if not rooms[room][config]:
+                    del rooms[room][config]
+            put(room - each * length, config + (length,) * each, times)
+            left -= each * times
+    return sum(rooms.values(), Counter())
 
 
 def plan(counts: np.ndarray, size: int = SEQUENCE) -> Counter:
@@ -253,8 +356,9 @@ def plan(counts: np.ndarray, size: int = SEQUENCE) -> Counter:
         counts[size] = 0
     left = counts.copy()
     chosen: Counter = Counter()
-    for config, x in sorted(solve(counts, size).items(), key=lambda kv: (-kv[1], kv[0])):
-        times = int(x)
+    used, _ = solve(counts, size)
+    for config, x in sorted(used.items(), key=lambda kv: (-kv[1], kv[0])):
+        times = int(x + 1e-6)
         for length, c in Counter(config).items():
             times = min(times, int(left[length]) // c)
         if times > 0:

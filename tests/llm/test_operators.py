@@ -301,6 +301,30 @@ def test_packing_plan_is_close_to_the_bound():
     assert sum(plan.values()) <= bound * 1.01 + 2
 
 
+@pytest.mark.parametrize("pieces", [30_000, 400_000])
+def test_packing_program_is_solved_and_places_nearly_all_pieces(pieces):
+    r = np.random.default_rng(4)
+    counts = np.bincount(np.minimum(r.geometric(0.004, pieces), 1023), minlength=1025)
+    used, bound = packing.solve(counts, 1024)
+    value = sum(used.values())
+    assert bound - 1e-6 <= value <= bound + max(2, packing.GAP * bound) + 1e-6 and bound >= (counts * np.arange(1025)).sum() / 1024 - 1e-6
+    covered = np.zeros(1025)
+    rounded = 0
+    for config, x in used.items():
+        rounded += len(config) * int(x + 1e-6)
+        for n in config:
+            covered[n] += x
+    assert (covered >= counts - 1e-3).all()
+    assert rounded >= 0.9 * pieces
+
+
+def test_packing_bound_comes_from_prices_where_long_pieces_do_not_pair():
+    counts = np.zeros(1025, np.int64)
+    counts[[600, 700, 300]] = [1000, 1000, 500]
+    used, bound = packing.solve(counts, 1024)
+    assert abs(sum(used.values()) - 2000) <= 2 and bound > 1997
+
+
 def test_best_configuration():
     prices = np.zeros(11)
     prices[[3, 4, 7]] = [3.1, 4.0, 7.2]
