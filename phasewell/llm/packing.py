@@ -346,8 +346,7 @@ def best_fit(counts: np.ndarray, size: int) -> Counter:
 def plan(counts: np.ndarray, size: int = SEQUENCE) -> Counter:
     """Configuration -> number of sequences, for all pieces of the histogram.
 
-    Rounded linear program and residual; if plain best fit on a histogram of few pieces needs no
-    more sequences, that is taken.
+    Rounded linear program and best fit of the residue, at every size.
     """
     counts = counts.astype(np.int64).copy()
     out: Counter = Counter()
@@ -366,10 +365,6 @@ def plan(counts: np.ndarray, size: int = SEQUENCE) -> Counter:
             for length in config:
                 left[length] -= times
     chosen.update(best_fit(left, size))
-    if counts.sum() <= 200_000:
-        plain = best_fit(counts, size)
-        if sum(plain.values()) < sum(chosen.values()):
-            chosen = plain
     out.update(chosen)
     return out
 

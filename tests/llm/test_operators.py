@@ -318,6 +318,19 @@ def test_packing_program_is_solved_and_places_nearly_all_pieces(pieces):
     assert rounded >= 0.9 * pieces
 
 
+@pytest.mark.parametrize("pieces", [20_000, 400_000])
+def test_packing_plan_has_no_switch_by_size(pieces, monkeypatch):
+    r = np.random.default_rng(6)
+    counts = np.bincount(np.minimum(r.geometric(0.004, pieces), 1024), minlength=1025)
+    seen = []
+    whole = packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda c, size: seen.append(int(c.sum())) or whole(c, size))
+    plan = packing.plan(counts)
+    assert len(seen) == 1 and seen[0] <= 5_000  # the residue alone
+    bound = (counts * np.arange(1025)).sum() / 1024
+    assert sum(plan.values()) <= bound * (1 + packing.GAP) + 5
+
+
 def test_packing_bound_comes_from_prices_where_long_pieces_do_not_pair():
     counts = np.zeros(1025, np.int64)
     counts[[600, 700, 300]] = [1000, 1000, 500]
