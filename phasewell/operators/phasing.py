@@ -199,11 +199,11 @@ def phase_genes(codes: DataFrame, gene: list[str], max_iter: int = 50, tol: floa
     """(reads, sites) of all genes (C5, M6, M10): two views of one grouped-map stage.
 
     Reads: gene, Read, reads_phasable, hat_I, hat_I_B. Sites: gene, snv_id, h_A, h_m, alpha_hat,
-    ll_alt, ll_null, lrt. A gene that fails has one row with its error instead of a lost stage.
+    ll_alt, ll_null, lrt. A gene that fails stops the query, with its name: no gene is left out.
     codes: gene, Read, snv_id, r, pi and score.
     """
     kinds = ", ".join(f"{c} {codes.schema[c].dataType.simpleString()}" for c in gene)
-    schema = f"{kinds}, kind string, id string, phasable int, a double, b double, alpha double, ll_alt double, ll_null double, error string"
+    schema = f"{kinds}, kind string, id string, phasable int, a double, b double, alpha double, ll_alt double, ll_null double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = {c: pdf[c].iloc[0] for c in gene}
@@ -214,9 +214,9 @@ def phase_genes(codes: DataFrame, gene: list[str], max_iter: int = 50, tol: floa
             code[i, j], error[i, j], score[j] = pdf["r"], pdf["pi"], pdf["score"]
             full = phase(code, error, score, max_iter=max_iter, tol=tol, seed=seed)
             null = phase(code, error, score, max_iter=max_iter, tol=tol, seed=seed, fixed_alpha=0.5)
-        except Exception as e:  # noqa: BLE001
-            return pd.DataFrame([{**own, "kind": "error", "error": str(e)[:200]}]).reindex(columns=[x.split()[0] for x in schema.split(", ")])
-        common = {**own, "alpha": min(full.alpha, 1 - full.alpha), "ll_alt": full.loglik, "ll_null": null.loglik, "error": None}
+        except Exception as e:
+            raise RuntimeError(f"phasing of {own} failed: {e!r}") from e
+        common = {**own, "alpha": min(full.alpha, 1 - full.alpha), "ll_alt": full.loglik, "ll_null": null.loglik}
         a = pd.DataFrame({"kind": "read", "id": reads, "phasable": full.phasable.astype(int), "a": full.hat, "b": 1 - full.hat})
         b = pd.DataFrame({"kind": "site", "id": sites, "phasable": None, "a": full.h, "b": full.marker})
         return pd.concat([a, b]).assign(**common)[[x.split()[0] for x in schema.split(", ")]]

@@ -152,6 +152,15 @@ def test_phase_genes_reports_errors_and_rows(spark):
     assert sites.count() == 3 and all(abs(r["hat_I"] + r["hat_I_B"] - 1) < 2e-3 for r in reads.collect())
 
 
+def test_a_failing_gene_is_not_left_out(spark):
+    rows = [(g, str(i), str(j), (i + j) % 2, 0.02, score) for g, score in (("g", "0.9"), ("h", "bad")) for i in range(6) for j in range(2)]
+    codes = spark.createDataFrame(rows, "geneID string, Read string, snv_id string, r int, pi double, score string")
+    for view in phasing.phase_genes(codes, ["geneID"]):
+        with pytest.raises(Exception, match="phasing of .*'h'.* failed"):
+            view.collect()
+    assert phasing.phase_genes(codes.where("geneID = 'g'"), ["geneID"])[1].count() == 2
+
+
 def test_keep_mask_branches():
     assert phasing.keep_mask(np.array([0.95, 0.92, 0.1])).tolist() == [True, True, False]
     assert phasing.keep_mask(np.array([0.95, 0.5, 0.1])).tolist() == [True, True, False]
