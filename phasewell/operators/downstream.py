@@ -213,6 +213,27 @@ def merged_intervals(df: DataFrame, by: list[str], gap: int = 0) -> DataFrame:
     return island.groupBy(*by, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
 
 
+def overlap_sums(df: DataFrame, others: DataFrame, by: list[str], width: int = 65_536) -> DataFrame:
+    """df (by, s, e) with ``bp``, the bases it shares with all intervals of others in its group.
+
+    The bases of others before a position are running sums over end points, taken within ranges of
+    ``width`` positions and carried over one narrow row per range; no pairs are made.
+    """
+    point = lambda d, c, sign: d.select(*by, F.col(c).cast("bigint").alias("_p"), F.lit(sign).alias("_n"))
+    clean = others.where("e > s")
+    ends = point(clean, "s", 1).unionByName(point(clean, "e", -1)).unionByName(point(df, "s", 0)).unionByName(point(df, "e", 0))
+    points = ends.groupBy(*by, "_p").agg(F.sum("_n").alias("_n")).withColumn("_range", F.floor(F.col("_p") / width)).withColumn("_m", F.col("_n") * F.col("_p"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = points.groupBy(*by, "_range").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m"))
+    carried = ranges.select(*by, "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_n", "_m")])
+    inside = Window.partitionBy(*by, "_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    run = points.withColumns({c: F.sum(c).over(inside) for c in ("_n", "_m")}).join(carried, [*by, "_range"])
+    covered = run.select(*by, "_p", (F.col("_p") * (F.col("_n") + F.col("_n0")) - F.col("_m") - F.col("_m0")).alias("_f"))
+    low, high = (covered.withColumnsRenamed({"_p": c, "_f": f"_f_{c}"}) for c in ("s", "e"))
+    typed = df.withColumns({c: F.col(c).cast("bigint") for c in ("s", "e")})
+    return typed.join(low, [*by, "s"]).join(high, [*by, "e"]).withColumn("bp", F.greatest(F.lit(0), F.col("_f_e") - F.col("_f_s"))).drop("_f_s", "_f_e")
+
+
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """existing without the keys of new, and new."""
     return existing.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)

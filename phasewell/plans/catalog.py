@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import alleles, intervals, tests_of_fit
+from ..functions import alleles, tests_of_fit
 from ..operators import downstream, phasing, pileup
 from .proxies import SQL_BASES, SQL_WEIGHTS, bases, parts, table, weights
 
@@ -171,8 +171,7 @@ def editing_site_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def range_overlap_bp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P4, J7."""
     x = parts(spark, sf_dir).select("geneID", F.col("pos").alias("s"), (F.col("pos") + F.col("size")).alias("e"))
-    own = x.groupBy("geneID").agg(F.collect_list(F.struct("s", "e")).alias("iv"))
-    return x.join(own, "geneID").select("geneID", "s", intervals.overlap_bp(F.col("s"), F.col("e"), F.col("iv")).alias("bp"))
+    return downstream.overlap_sums(x, x, ["geneID"]).select("geneID", "s", "bp")
 
 
 @query("""WITH x AS (SELECT DISTINCT p_brand AS gene, p_partkey AS s, p_partkey + p_size AS e FROM part WHERE p_size > 0), r AS (SELECT *, max(e) OVER (PARTITION BY gene ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM x),

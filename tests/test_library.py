@@ -173,6 +173,17 @@ def test_most_imbalanced_follows_the_order(spark):
     assert tuple(downstream.most_imbalanced(df).first()["_imbalance"]) == (10.0, 1.0)
 
 
+def test_overlap_sums_make_no_pairs_or_lists(spark):
+    r = np.random.default_rng(2)
+    rows = [(g, int(s), int(s + n)) for g in "ab" for s, n in zip(r.integers(0, 300, 40), r.integers(0, 60, 40), strict=True)]
+    df = spark.createDataFrame(rows, "geneID string, s bigint, e bigint")
+    out = downstream.overlap_sums(df, df, ["geneID"], width=32)
+    want = sorted((g, s, e, sum(max(0, min(e, y) - max(s, x)) for h, x, y in rows if h == g)) for g, s, e in rows)
+    assert sorted(tuple(x) for x in out.select("geneID", "s", "e", "bp").collect()) == want
+    plan = catalog.range_overlap_bp(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "m.tsv").write_text("Read\tgeneName\tgeneID\tgeneChr\tIsoform\tCell\tUmi\tKeep\nm/1/ccs_5\tA\tg\tc\tt\tx\tu\t1\nm/2/ccs\tA\tg\tc\tt\tx\tu\t0\n")
     assert [r["Read"] for r in readers.read_mapping(spark, str(tmp_path / "m.tsv"), "s").collect()] == ["m/1/ccs"]
