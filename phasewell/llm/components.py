@@ -1,11 +1,15 @@
 """Shared by operators 4 and 10: links between texts that share keys, and connected components.
 
 A *class* is a set of equal texts and has a 64-bit digest ``d``. Candidate classes share a key.
-Linking inside a key's bucket goes in rounds: a few pivots of each bucket meet the members that
-belong to another component by then, real links merge components, and a pivot that has met all is
-done. Buckets of one component drop out, so a group of thousands of near copies costs a few
-comparisons a member instead of all pairs, and still no link between components is lost: the rounds
-end when every pair of a bucket has been compared or lies in one component.
+Linking inside a key's bucket goes in three rounds: every class meets the pivot with which it shares
+most keys, then the few pivots of each bucket that are in most buckets, then all members that still
+lie in different components. Real links merge components before the next round, and a pair leaves a
+join only if its sizes and parities allow a link: the bounds are part of the join's condition, so
+what a join emits follows the links and not the square of a bucket. No link between components is
+lost: a pair of a bucket has been compared, or excluded by a bound, or lies in one component.
+
+What is not linear: in the last round the bounds are evaluated (some nanoseconds each, nothing is
+emitted) for members of one bucket that lie in different components.
 
 All tables are narrow and distributed; nothing but counts reaches the driver, and each round ends
 in a reliable checkpoint.
@@ -13,7 +17,7 @@ in a reliable checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,8 @@ from .text import Words, checkpoint, distinct_sets, filled, mix, slices, windows
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= LINK * union.
 LINK = 80
-#: Pivots of a bucket in each round; the last value stays.
-PIVOTS = (8, 64, 512, 4096)
+#: Pivots of a bucket in the second round.
+PIVOTS = 8
 
 
 def shingle_sets(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +53,7 @@ def digests(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 #: Names of the parity columns, their 64-bit words, and the sizes above which a set has them.
-PARITIES = (("p4", 4, 0), ("p16", 16, 250), ("p64", 64, 1200))
+PARITIES = (("p4", 4, 0), ("p16", 16, 60), ("p64", 64, 600))
 PARITY_SCHEMA = ", ".join(f"{name} array<bigint>" for name, *_ in PARITIES)
 
 
@@ -75,13 +79,19 @@ def parities(values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     return out
 
 
-def may_link(a: str = "a", b: str = "b") -> str:
+def may_link(columns: list[str], a: str = "a", b: str = "b") -> str:
     """SQL test that no linked pair fails: sizes, and the parities' bound on the difference.
 
-    Of sizes x and y, linked sets differ in at most (x + y) / 9 elements.
+    Of sizes x and y, linked sets differ in at most (x + y) / 9 elements. ``columns`` names the
+    parities of the rows: single words (``w0``, ``w1`` ...), tested together and first, and arrays.
     """
-    differ = [f"coalesce(9 * aggregate(zip_with({a}.{p}, {b}.{p}, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v) <= {a}.n + {b}.n, true)" for p, *_ in PARITIES]
-    return f"100 * least({a}.n, {b}.n) >= {LINK} * greatest({a}.n, {b}.n) AND " + " AND ".join(differ)
+    words = [c for c in columns if c[0] == "w"]
+    tests = [f"100 * least({a}.n, {b}.n) >= {LINK} * greatest({a}.n, {b}.n)"]
+    if words:
+        tests.append("9 * (" + " + ".join(f"bit_count({a}.{w} ^ {b}.{w})" for w in words) + f") <= {a}.n + {b}.n")
+    for p in (c for c in columns if c[0] == "p"):
+        tests.append(f"coalesce(9 * aggregate(zip_with({a}.{p}, {b}.{p}, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v) <= {a}.n + {b}.n, true)")
+    return " AND ".join(tests)
 
 
 def packed(keyed: DataFrame) -> DataFrame:
@@ -169,35 +179,43 @@ def components(links: DataFrame) -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("c")).selectExpr("u as d", "c").unionByName(edges.selectExpr("v as d", "v as c").distinct()).groupBy("d").agg(F.min("c").alias("c"))
 
 
-def link_rounds(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(d, c) of all classes with a link. rows: (key, d), distinct; classes: (d, n, parities).
+def link_rounds(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(d, c) of all classes with a link. rows: (key, d, n, parities), distinct.
 
-    Before the rounds, every class meets the one pivot with which it shares most keys: that joins
-    most near copies for one comparison each.
+    ``verify`` takes distinct (a, b) that may link and gives those that do. Pivots of a bucket are
+    its classes with most keys: in a group of near copies, those that were edited least.
     """
-    side = lambda x: classes.select(F.col("d").alias(x), F.struct("n", *[p for p, *_ in PARITIES]).alias(f"s{x}"))
+    bounds = [c for c in rows.columns if c not in ("key", "d")]
+    test = may_link([c for c in bounds if c != "n"])
+    degree = rows.groupBy("d").agg(F.count(F.lit(1)).alias("k"))
+    left = checkpoint(rows.join(degree, "d"))
 
     def compared(met: DataFrame) -> DataFrame:
-        near = met.join(side("a"), "a").join(side("b"), "b").where(may_link("sa", "sb")).select("a", "b")
-        return checkpoint(verified(near, texts))
-
-    first = rows.groupBy("key").agg(F.min("d").alias("pd"))
-    shares = rows.join(first, "key").where("d <> pd").groupBy("d", "pd").agg(F.count(F.lit(1)).alias("k"))
-    best = shares.groupBy("d").agg(F.max(F.struct("k", "pd")).alias("m")).select("d", "m.pd")
-    known = compared(best.selectExpr("least(d, pd) as a", "greatest(d, pd) as b").distinct())
-    left = rows.select("key", "d")
-    labels: DataFrame | None = None
-    for count in [*PIVOTS, *[PIVOTS[-1]] * 1000]:
+        return checkpoint(verify(met.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()))
+
+    def labelled(known: DataFrame) -> DataFrame:
+        """Members of buckets with several components, with their component c."""
+        nonlocal labels
         if not known.isEmpty():
             labels = checkpoint(components(known))
-        tagged = left.withColumn("c", F.col("d")) if labels is None else left.join(labels, "d", "left").select("key", "d", F.coalesce("c", "d").alias("c"))
+        tagged = left.withColumn("c", F.col("d")) if labels is None else left.join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))
         mixed = tagged.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-        tagged = checkpoint(tagged.join(mixed, "key"))
-        if tagged.isEmpty():
-            break
-        order = Window.partitionBy("key").orderBy("d")
-        pivots = checkpoint(tagged.withColumn("r", F.row_number().over(order)).where(f"r <= {count}").select("key", F.col("d").alias("pd"), F.col("c").alias("pc")))
-        met = tagged.join(pivots, "key").where("c <> pc").selectExpr("least(d, pd) as a", "greatest(d, pd) as b").distinct()
-        known = known.unionByName(compared(met))
-        left = tagged.select("key", "d").join(pivots.selectExpr("key", "pd as d"), ["key", "d"], "left_anti")
+        return checkpoint(tagged.join(mixed, "key").select(*left.columns, "c"))
+
+    labels: DataFrame | None = None
+    first = left.groupBy("key").agg(F.max(F.struct("k", "d", *bounds)).alias("m")).select("key", "m.*")
+    shares = left.alias("a").join(first.alias("b"), F.expr(f"a.key = b.key AND a.d <> b.d AND {test}")).groupBy(F.expr("a.d as a"), F.expr("b.d as b")).agg(F.count(F.lit(1)).alias("k"))
+    best = shares.groupBy("a").agg(F.max(F.struct("k", "b")).alias("m")).selectExpr("a", "m.b as b")
+    known = compared(best)
+    tagged = labelled(known)
+    if not tagged.isEmpty():
+        ranks = Window.partitionBy("key").orderBy(F.col("k").desc(), "d")
+        pivots = tagged.withColumn("r", F.row_number().over(ranks)).where(f"r <= {PIVOTS}").drop("r")
+        met = tagged.alias("a").join(pivots.alias("b"), F.expr(f"a.key = b.key AND a.c <> b.c AND {test}"))
+        known = known.unionByName(compared(met.selectExpr("a.d as a", "b.d as b")))
+        tagged = labelled(known)
+    if not tagged.isEmpty():
+        met = tagged.alias("a").join(tagged.alias("b"), F.expr(f"a.key = b.key AND a.d < b.d AND a.c <> b.c AND {test}"))
+        known = known.unionByName(compared(met.selectExpr("a.d as a", "b.d as b")))
+        labels = None if known.isEmpty() else checkpoint(components(known))
     return labels if labels is not None else rows.sparkSession.createDataFrame([], "d bigint, c bigint")

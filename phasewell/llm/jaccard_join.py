@@ -38,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import PARITIES, PARITY_SCHEMA, digests, link_rounds, packed, parities, shingle_sets
+from .components import PARITIES, PARITY_SCHEMA, digests, link_rounds, may_link, packed, parities, shingle_sets, verified
 from .text import checkpoint, filled, mix, row_key, slices, table
 
 #: Sets behind a key beyond which it is skipped where the surplus allows it.
 HOT = 48
+#: Digests that a task remembers, to write equal texts once.
+SEEN = 200_000
 #: Estimated share of shingles that are common, for the cost of chance agreements.
 COMMON = 0.2
 
@@ -135,6 +137,8 @@ def key_table(keyed: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
+                if len(seen) > SEEN:  # forgetting costs repeated rows, no results
+                    seen.clear()
                 values, at = shingle_sets(filled(part.column("text")))
                 d, n = digests(values, at), np.diff(at)
                 new = np.zeros(len(d), bool)
@@ -167,11 +171,20 @@ def classes_of(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -
     rows = checkpoint(keys.join(shared, "key").distinct())
     hot = rows.where(f"sets > {HOT}")
     over = hot.groupBy("d", "way").agg(F.count(F.lit(1)).alias("skipped")).where("skipped > way % 100000").select("d", "way")
-    followed = rows.where(f"sets <= {HOT}").select("key", "d").unionByName(hot.join(over, ["d", "way"], "left_semi").select("key", "d"))
-    followed = checkpoint(followed.distinct())
+    followed = rows.where(f"sets <= {HOT}").selectExpr("key", "d", "false as hot").unionByName(hot.join(over, ["d", "way"], "left_semi").selectExpr("key", "d", "true as hot"))
+    # rows carry the bounds on links with them, in hot buckets the wider ones too
+    own = classes.selectExpr("d", "n", *[f"p4[{i}] as w{i}" for i in range(4)], "p16")
+    followed = checkpoint(followed.distinct().join(own, "d").select("key", "d", "n", *[f"w{i}" for i in range(4)], F.when(F.col("hot"), F.col("p16")).alias("p16")))
     wanted = followed.select("d").distinct().join(classes.select("d", "row"), "d")
     texts = checkpoint(packed(keyed).join(wanted, "row").groupBy("row", "d").agg(F.first("text").alias("text")).select("d", "text"))
-    return sets, link_rounds(followed, classes, texts)
+    wide = [p for p, *_ in PARITIES[1:]]
+    side = lambda x: classes.select(F.col("d").alias(x), F.struct("n", *wide).alias(f"s{x}"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link(wide, "sa", "sb")).select("a", "b")
+        return verified(near, texts)
+
+    return sets, link_rounds(followed, verify)
 
 
 def join_rows(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import Words, checkpoint, filled, mix, slices, table
+from .text import Words, array_slices, checkpoint, mix, table
 
 KEEP_AT = 0.5
 EM_ROUNDS = 200
@@ -96,17 +96,19 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column ``_q_stats``, computed in Arrow batches beside the text."""
+    """docs with a struct column ``_q_stats``, computed in Arrow batches beside the text.
 
-    @F.pandas_udf(STATS)
-    def stats(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
+    The UDF is marked as not deterministic, so that a filter on its result is not pushed below it
+    and the statistics are computed once per row, however often they are looked at.
+    """
 
-        column = pa.array(texts, type=pa.large_string(), from_pandas=True)
-        parts = [statistics(filled(b.column("t"))) for b in slices(pa.RecordBatch.from_arrays([column], ["t"]), "t")]
-        return pd.DataFrame({k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in STAT_NAMES})
+    @F.arrow_udf(STATS)
+    def stats(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [statistics(t) for t in array_slices(texts)]
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]).astype(np.int64)) for k in STAT_NAMES], STAT_NAMES)
 
-    return docs.withColumn("_q_stats", stats(F.col(text)))
+    return docs.withColumn("_q_stats", stats.asNondeterministic()(F.col(text)))
 
 
 def _share(top: str, bottom: str) -> Column:

@@ -6,7 +6,6 @@ encoding happen in Arrow's C++ code, so Python touches each *distinct* word of a
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,8 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task works on at once (one longer text is still taken whole).
-SLICE_BYTES = 8 << 20
+#: Bytes of text that a task works on at once (one longer text is still taken whole). The arrays made
+#: from a slice take some twenty times as much, so this bounds a Python worker's memory.
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,15 +37,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for tables between stages.
+    """The shared folder for tables between stages: spark.checkpoint.dir, or the session's own.
 
-    A folder of our own is set only where none is configured (tests on one machine).
+    A temporary folder is made only where neither is set and all tasks run in the driver's process
+    (master ``local``); elsewhere a machine-local folder would lose what other machines wrote.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return named or sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+        return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    return named
 
 
 def row_key(*cols: str):
@@ -70,6 +76,12 @@ def filled(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def array_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts of an Arrow UDF's batch in slices, nulls as empty ones."""
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t"):
+        yield filled(part.column("t"))
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text of an array, as ids into a dictionary."""
 
