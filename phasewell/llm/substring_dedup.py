@@ -1,40 +1,56 @@
 r"""Operator 10, substring dedup: paragraph MinHash banding.
 
-Paragraphs are the lines of a text (split at ``\n``) with ``MIN_WORDS`` words or more. Each has a
-MinHash signature over its 5-word shingles, cut into bands whose number and width ``bands`` tunes
-for a recall of 0.999 at the threshold. Paragraphs that share a band are compared in rounds and
-verified by exact Jaccard (0.8) on their words; components of links are clusters. All places of a
-cluster but the first (by doc_id, then row, then paragraph) are to be removed.
-
-Scale: paragraphs never leave their task as text, except those that share a band with another one;
-the other tables are narrow. Equal paragraphs are one class, written once per task, so that a
-passage that is everywhere costs one row per task; the rounds compare a large cluster's members
-with a few pivots and not with each other.
-
-Edge cases: null and empty texts have no paragraph; a text of one long line is one paragraph; a
-paragraph that occurs twice in one document counts as a repeat; rows equal in doc_id and text count
-as one document and are listed once each; null doc_ids come last in the order; extra columns are
-kept by ``remove``; an empty table gives an empty result.
+A paragraph is a run of ``PARAGRAPH`` consecutive words (``[^\x20\x09-\x0D]+``, A-Z in lower case), across
+line breaks. Where paragraphs start is content-defined: among each ``PASSAGE - PARAGRAPH`` successive
+places, the one whose 3-word hash is lowest starts one. So every passage of ``PASSAGE`` words or more
+holds, in every text in which it stands, the same paragraph from its first to its last word, whatever
+surrounds it and however its lines are broken.
+
+Each paragraph has a MinHash signature over its 5-word shingles, cut into bands whose number and width
+``bands`` tunes for a recall of ``RECALL`` at the threshold (equal paragraphs always meet). Paragraphs
+that share a band are verified by exact Jaccard (0.8) on their shingle sets, and components of links are
+clusters. A cluster with places in two documents or more is repeated; all its places but those in the
+first document (by doc_id, then row hash) are to be removed. Overlapping paragraphs of one document with
+the same verdict are merged into a span.
+
+Scale: two narrow passes over the texts write 1.2 band keys and 0.07 places a word; only paragraphs that
+share a key go further, and texts move once, compressed, to give these paragraphs' sets. Equal paragraphs
+are one class: a passage that is everywhere costs one row per slice of text in the candidate search. Joins
+on hot classes have one row per class on the other side, so Spark can split them.
+
+Edge cases: null and empty texts, and texts of fewer than ``PARAGRAPH`` words, have no paragraph; in a
+loop of the same few words one paragraph starts per ``PASSAGE - PARAGRAPH`` words or two; what repeats
+inside one document alone is no repeat across documents (``within`` counts it too); rows equal in doc_id
+and text count as one document and are listed once; null doc_ids come last in the order; a very long text
+is handled whole, by one task; extra columns, whatever their names, are kept by ``remove``; an empty
+table gives an empty result. MinHash banding misses a pair at exactly 0.8 with a chance of two in a hundred.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import PARITIES, PARITY_SCHEMA, digests, link_rounds, parities, shingle_sets
-from .text import checkpoint, filled, mix, row_key, slices, table
+from .components import LINK, SHINGLE, link_rounds, packed, unpacked
+from .text import Words, checkpoint, filled, mix, row_key, slices, table
 
-#: Fewer words are no passage.
-MIN_WORDS = 40
-THRESHOLD = 0.8
-RECALL = 0.999
-HASHES = 128
+#: Words of a paragraph.
+PARAGRAPH = 24
+#: Words of a passage that is sure to hold one.
+PASSAGE = 51
+#: Places for a start, of which one is taken.
+REACH = PASSAGE - PARAGRAPH + 1
+THRESHOLD = LINK / 100
+RECALL = 0.98
+HASHES = 8
+#: Bits of a place in the keys that a minimum is taken of.
+PLACE_BITS = np.uint64(28)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -48,131 +64,220 @@ def bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HA
     return best
 
 
-def paragraphs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(text number, first code point, number of the line) of each line, and the lines."""
-    lists = pc.split_pattern(texts, "\n")
-    at = np.asarray(lists.offsets, np.int64)
-    at = at - at[0]
-    lines = lists.flatten()
-    owner = np.repeat(np.arange(len(texts)), np.diff(at))
-    size = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    before = np.concatenate([[0], np.cumsum(size)])
-    return owner, before[:-1] - before[at[:-1]][owner], np.arange(len(owner)) - at[:-1][owner], lines
-
-
-def long_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """paragraphs() of at least MIN_WORDS words, and their numbers of words."""
-    owner, start, number, lines = paragraphs(texts)
-    # a word is at least one byte and a gap, so most short lines go before they are split
-    words = np.zeros(len(lines), np.int64)
-    maybe = np.flatnonzero(pc.binary_length(lines).to_numpy(zero_copy_only=False) >= 2 * MIN_WORDS - 1)
-    some = lines.take(pa.array(maybe))
-    lists = pc.ascii_split_whitespace(some)
-    off = np.asarray(lists.offsets, np.int64)
-    real = np.concatenate([[0], np.cumsum(pc.greater(pc.binary_length(lists.flatten()), 0).to_numpy(zero_copy_only=False))])
-    words[maybe] = np.diff(real[off - off[0]])
-    pick = np.flatnonzero(words >= MIN_WORDS)
-    return owner[pick], start[pick], number[pick], lines.take(pa.array(pick)), words[pick]
-
-
-def band_keys(values: np.ndarray, offsets: np.ndarray, n: int, rows: int) -> np.ndarray:
-    """Keys (sets x bands) of the MinHash signatures of non-empty sets."""
-    out = np.zeros((len(offsets) - 1, n), np.uint64)
+def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k successive words, texts' ends not heeded."""
+    out = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
     with np.errstate(over="ignore"):
-        for b in range(n):
-            acc = np.full(len(offsets) - 1, np.uint64(b + 1))
-            for r in range(rows):
-                seed = mix(np.array([b * 1000 + r + 1], np.uint64))[0]
-                acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((values ^ seed) * (seed | np.uint64(1)), offsets[:-1]))
-            out[:, b] = acc
-    return out.view(np.int64)
+        for j in range(k):
+            out = mix(out * ODD + hashes[j : j + len(out)] + np.uint64(j + 1))
+    return out
+
+
+def starts(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where paragraphs start, as numbers into the words of all texts."""
+    ways = np.maximum(np.diff(offsets) - PARAGRAPH + 1, 0)  # places for a start in each text
+    if not ways.any():
+        return np.zeros(0, np.int64)
+    gram = rolled(hashes, 3)
+    low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
+    lowest = (gram & ~low) | (np.arange(len(gram), dtype=np.uint64) & low)
+    span = 1
+    least = lowest
+    while span < REACH:  # minima of ever wider runs of places
+        step = min(span, REACH - span)
+        least = np.minimum(least[: len(least) - step], least[step:]) if len(least) > step else least[:0]
+        span += step
+    long, short = np.flatnonzero(ways >= REACH), np.flatnonzero((ways > 0) & (ways < REACH))
+    runs = ways[long] - REACH + 1
+    first = np.repeat(offsets[:-1][long] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+    # the low bits of a place are told from the run it lies in
+    near = [first + (((least[first] & low).astype(np.int64) - first) & int(low))]
+    if len(short):
+        edges = np.stack([offsets[:-1][short], offsets[:-1][short] + ways[short]], 1).ravel()
+        own = np.minimum.reduceat(np.append(lowest, ~np.uint64(0)), edges)[::2]
+        near.append(offsets[:-1][short] + (((own & low).astype(np.int64) - offsets[:-1][short]) & int(low)))
+    at = np.unique(np.concatenate(near))
+    # in loops of words equal minima follow each other: one start per REACH words stays of them
+    owner = np.searchsorted(offsets, at, side="right")
+    fresh = np.concatenate([[True], (gram[at[1:]] != gram[at[:-1]]) | (owner[1:] != owner[:-1]) | (np.diff(at) >= REACH)])
+    began = at[fresh][np.cumsum(fresh) - 1]
+    part = (at - began) // REACH
+    return at[fresh | np.concatenate([[True], part[1:] != part[:-1]])]
+
+
+class Paragraphs:
+    """The paragraphs of each text of an array: owner, first word, and their shingles as a matrix."""
+
+    def __init__(self, texts: pa.Array):
+        w = Words(texts)
+        hashes = w.hashes(w.lowered())
+        begin = starts(hashes, w.offsets)
+        self.owner = np.searchsorted(w.offsets, begin, side="right") - 1
+        self.at = begin - w.offsets[self.owner]
+        grams = rolled(hashes, SHINGLE)
+        #: sorted shingles of each paragraph; ``again`` marks those that stand there before
+        self.values = np.sort(grams[begin[:, None] + np.arange(PARAGRAPH - SHINGLE + 1)], axis=1) if len(begin) else np.zeros((0, PARAGRAPH - SHINGLE + 1), np.uint64)
+        self.again = np.zeros(self.values.shape, bool)
+        self.again[:, 1:] = self.values[:, 1:] == self.values[:, :-1]
+        self.n = (~self.again).sum(1)
+
+    def digests(self) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            sums = np.where(self.again, np.uint64(0), mix(self.values * np.uint64(0xC2B2AE3D27D4EB4F))).sum(1, dtype=np.uint64)
+            return mix(sums + self.n.astype(np.uint64)).view(np.int64)
+
+    def band_keys(self, n: int, rows: int) -> np.ndarray:
+        """Keys (paragraphs x bands) of the MinHash signatures."""
+        out = np.zeros((len(self.at), n), np.uint64)
+        with np.errstate(over="ignore"):
+            for b in range(n):
+                acc = np.full(len(self.at), np.uint64(b + 1))
+                for r in range(rows):
+                    seed = mix(np.array([b * 1000 + r + 1], np.uint64))[0]
+                    acc = mix(acc * ODD + ((self.values ^ seed) * (seed | np.uint64(1))).min(1, initial=~np.uint64(0)))
+                out[:, b] = acc
+        return out.view(np.int64)
+
+    def parities(self, words: int = 2) -> list[np.ndarray]:
+        """Parity bits of each set, in words of 64."""
+        code = mix(self.values ^ np.uint64(0x5851F42D4C957F2D))
+        bit = np.where(self.again, np.uint64(0), np.uint64(1) << (code & np.uint64(63)))
+        word = (code >> np.uint64(6)) % np.uint64(words)
+        return [np.bitwise_xor.reduce(np.where(word == k, bit, np.uint64(0)), axis=1).view(np.int64) for k in range(words)]
 
 
-def paragraph_table(keyed: DataFrame) -> DataFrame:
-    """(row, paragraph, start, end, n_words, d, n, parities) of each long line of keyed (row, text)."""
+def key_table(keyed: DataFrame) -> DataFrame:
+    """(key, d, times) of the distinct paragraphs of each slice of text; times is 2 if one is there again."""
+    n, rows = bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                owner, start, number, lines, words = long_lines(filled(part.column("text")))
-                values, at = shingle_sets(lines)
-                size = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row").take(pa.array(owner)), pa.array(number), pa.array(start), pa.array(start + size), pa.array(words), pa.array(digests(values, at)), pa.array(np.diff(at)), *parities(values, at)],
-                    ["row", "paragraph", "start", "end", "n_words", "d", "n", *[p for p, *_ in PARITIES]],
-                )
+                p = Paragraphs(filled(part.column("text")))
+                d, first, times = np.unique(p.digests(), return_index=True, return_counts=True)
+                keys = p.band_keys(n, rows)[first]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(d, n)), pa.array(np.repeat(np.minimum(times, 2), n).astype(np.int32))], ["key", "d", "times"])
 
-    return keyed.select("row", "text").mapInArrow(run, "row bigint, paragraph bigint, start bigint, end bigint, n_words bigint, d bigint, n bigint, " + PARITY_SCHEMA)
+    return keyed.select("text").mapInArrow(run, "key bigint, d bigint, times int")
 
 
-def key_table(keyed: DataFrame) -> DataFrame:
-    """(key, d) of each distinct long line of a task."""
-    n, rows = bands()
+def place_table(keyed: DataFrame) -> DataFrame:
+    """(row, at, d) of each paragraph: its row, first word and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                *_, lines, _ = long_lines(filled(part.column("text")))
-                values, at = shingle_sets(lines)
-                d = digests(values, at)
-                new = np.zeros(len(d), bool)
-                for i, x in enumerate(d.tolist()):
-                    new[i] = x not in seen
-                    seen.add(x)
-                if not new.any():
-                    continue
-                size = np.diff(at)
-                values, at = values[np.repeat(new, size)], np.concatenate([[0], np.cumsum(size[new])])
-                keys = band_keys(values, at, n, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(d[new], n))], ["key", "d"])
-
-    return keyed.select("row", "text").mapInArrow(run, "key bigint, d bigint")
-
-
-def texts_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(d, text) of the wanted (row, paragraph, d)."""
-    lines = F.split("text", "\n", -1)
-    listed = wanted.groupBy("row").agg(F.collect_set(F.struct("paragraph", "d")).alias("w"))
-    found = keyed.select("row", "text").join(listed, "row").select(lines.alias("l"), F.explode("w").alias("w"))
-    return found.groupBy("w.d").agg(F.first(F.get(F.col("l"), F.col("w.paragraph").cast("int"))).alias("text"))
-
-
-def clusters(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """A row per paragraph place in a cluster of two places or more.
-
-    id, row (hash), paragraph, start, end (code points, end exclusive), n_words, kept_id,
-    kept_row, kept_paragraph (the place that stays, which names the cluster), places, removed.
-    """
+                p = Paragraphs(filled(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(p.owner)), pa.array(p.at.astype(np.int32)), pa.array(p.digests())], ["row", "at", "d"])
+
+    return keyed.select("row", "text").mapInArrow(run, "row bigint, at int, d bigint")
+
+
+def set_table(found: DataFrame) -> DataFrame:
+    """(d, n, w0, w1, grams) of found (text, wanted): wanted lists the classes d asked of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                some = batch.slice(lo, 200)
+                lists = some.column("wanted")
+                for part in slices(pa.RecordBatch.from_arrays([unpacked(some.column("text")), lists], ["text", "wanted"]), "text"):
+                    p = Paragraphs(part.column("text"))
+                    wanted = part.column("wanted")
+                    of = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(wanted.offsets, np.int64)))
+                    asked = set(zip(of.tolist(), wanted.flatten().to_pylist(), strict=True))
+                    d = p.digests()
+                    first = np.unique(np.stack([p.owner, d], 1), axis=0, return_index=True)[1] if len(d) else np.zeros(0, np.int64)
+                    pick = np.array([i for i in first.tolist() if (int(p.owner[i]), int(d[i])) in asked], np.int64)
+                    words = p.parities()
+                    own = ~p.again[pick]
+                    grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p.n[pick])]).astype(np.int32)), pa.array(p.values[pick][own].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(d[pick]), pa.array(p.n[pick].astype(np.int64)), *[pa.array(w[pick]) for w in words], grams], ["d", "n", "w0", "w1", "grams"])
+
+    return found.mapInArrow(run, "d bigint, n bigint, w0 bigint, w1 bigint, grams array<bigint>")
+
+
+def _similar(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """(d, c) of the classes that link, for near (key, d) whose keys have several classes."""
+    rows = checkpoint(near.join(sets.select("d", "n", "w0", "w1"), "d").select("key", "d", "n", "w0", "w1"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.selectExpr("d as a", "n as na", "grams as ga"), "a").join(sets.selectExpr("d as b", "n as nb", "grams as gb"), "b")
+        common = F.size(F.array_intersect("ga", "gb"))
+        return both.where(100 * common >= LINK * (F.col("na") + F.col("nb") - common)).select("a", "b")
+
+    return link_rounds(rows, verify)
+
+
+def places(docs: DataFrame, text: str = "text", id_column: str = "doc_id", within: bool = False) -> DataFrame:
+    """A row per place of a repeated paragraph: id, row (hash), at (first word), c (cluster),
+    kept_id, kept_row, documents (that have the cluster), removed."""
     keyed = docs.select(row_key(id_column, text).alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    places = checkpoint(paragraph_table(keyed))
-    classes = checkpoint(places.groupBy("d").agg(F.min(F.struct("row", "paragraph")).alias("at"), *[F.first(c).alias(c) for c in ("n", *[p for p, *_ in PARITIES])]))
     keys = key_table(keyed).repartition("key")
-    shared = keys.groupBy("key").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1").select("key")
-    rows = checkpoint(keys.join(shared, "key").distinct())
-    wanted = rows.select("d").distinct().join(classes.select("d", "at.row", "at.paragraph"), "d")
-    labels = link_rounds(rows, classes, checkpoint(texts_of(keyed, wanted)))
-    ids = keyed.select("row", "id")
-    own = places.select("row", "paragraph", "start", "end", "n_words", "d").distinct()
-    named = own.join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))
-    count = named.groupBy("c").agg(F.count(F.lit(1)).alias("places")).where("places > 1")
-    listed = named.join(count, "c").join(ids.distinct(), "row")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "paragraph")
-    listed = checkpoint(listed.withColumn("place", place))
-    first = listed.groupBy("c").agg(F.min("place").alias("kept"))
-    out = listed.join(first, "c")
-    return out.select("id", "row", "paragraph", "start", "end", "n_words", F.col("kept.id").alias("kept_id"), F.col("kept.row").alias("kept_row"), F.col("kept.paragraph").alias("kept_paragraph"), "places", (F.col("place") != F.col("kept")).alias("removed"))
-
-
-def remove(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """docs with the repeated paragraphs taken out of their texts."""
-    gone = clusters(docs, text, id_column).where("removed").groupBy("row").agg(F.collect_set("paragraph").alias("_p_gone"))
-    joined = docs.withColumn("_p_row", row_key(id_column, text)).join(gone.withColumnRenamed("row", "_p_row"), "_p_row", "left")
-    left = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_p_gone", i.cast("bigint")))
-    return joined.withColumn(text, F.when(F.col("_p_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+    shared = keys.groupBy("key").agg(F.sum("times").alias("t"), F.min("d").alias("d0"), F.max("d").alias("d1")).where("t > 1").select("key", F.expr("d0 <> d1").alias("near"))
+    rows = checkpoint(keys.join(shared, "key").groupBy("key", "d", "near").agg(F.sum("times").alias("times")))
+    near = rows.where("near").select("key", "d")
+    wanted = rows.groupBy("d").agg(F.max("times").alias("times"), F.bool_or("near").alias("near"))
+    found = checkpoint(place_table(keyed).join(wanted, "d"))
+    one = found.where("near").groupBy("d").agg(F.min("row").alias("row")).groupBy("row").agg(F.collect_list("d").alias("wanted"))
+    sets = checkpoint(set_table(packed(keyed).join(one, "row").select("text", "wanted")).dropDuplicates(["d"]))
+    labels = _similar(near, sets)
+    ids = keyed.select("row", "id").distinct()
+    named = found.select("row", "at", "d").join(labels, "d", "left").select("row", "at", F.coalesce("c", "d").alias("c"))
+    per_row = checkpoint(named.groupBy("c", "row").agg(F.sort_array(F.collect_set("at")).alias("ats")).join(ids, "row"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    apart = F.max(F.element_at("ats", -1) - F.get("ats", F.lit(0)))
+    repeated = F.col("documents") > 1
+    if within:
+        repeated = repeated | (F.col("apart") >= PARAGRAPH)
+    of = per_row.groupBy("c").agg(F.count(F.lit(1)).alias("documents"), F.min(place).alias("kept"), apart.alias("apart")).where(repeated).select("c", "documents", "kept")
+    out = per_row.join(of, "c").select("id", "row", "c", F.posexplode("ats").alias("nth", "at"), "kept", "documents")
+    gone = (F.col("row") != F.col("kept.row")) | (F.lit(within) & (F.col("nth") > 0))
+    return out.select("id", "row", "at", "c", F.col("kept.id").alias("kept_id"), F.col("kept.row").alias("kept_row"), "documents", gone.alias("removed"))
+
+
+def spans(docs: DataFrame, text: str = "text", id_column: str = "doc_id", within: bool = False) -> DataFrame:
+    """Repeated spans: id, row, first_word, end_word (exclusive), kept_id and documents (of the span's
+    first paragraph), removed."""
+    order = Window.partitionBy("row", "removed").orderBy("at", "c")
+    new = F.coalesce((F.col("at") > F.lag("at").over(order) + PARAGRAPH).cast("int"), F.lit(1))
+    island = places(docs, text, id_column, within).withColumn("_new", new)
+    island = island.withColumn("_nth", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("at", "c", "kept_id", "documents"))
+    merged = island.groupBy("row", "removed", "_nth").agg(F.first("id").alias("id"), F.min("at").alias("first_word"), (F.max("at") + PARAGRAPH).alias("end_word"), first.alias("f"))
+    return merged.select("id", "row", "first_word", "end_word", F.col("f.kept_id").alias("kept_id"), F.col("f.documents").alias("documents"), "removed")
+
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def cut(text: str, gone: list[dict]) -> str:
+    """text without the words of the spans, and without the white space before each of them."""
+    ends = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    out, at = [], 0
+    for first, end in sorted((s["first_word"], s["end_word"]) for s in gone):
+        before = ends[first - 1][1] if first else 0
+        out.append(text[at : max(before, at)])
+        at = max(at, ends[end - 1][1])
+    return "".join(out) + text[at:]
+
+
+def remove(docs: DataFrame, text: str = "text", id_column: str = "doc_id", within: bool = False) -> DataFrame:
+    """docs with the repeated spans taken out of their texts; the rest of a text stays as it is."""
+
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        return pa.array([cut(t, g) for t, g in zip(texts.to_pylist(), gone.to_pylist(), strict=True)], pa.string())
+
+    gone = spans(docs, text, id_column, within).where("removed").groupBy("row").agg(F.collect_list(F.struct("first_word", "end_word")).alias("gone"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(id_column, text).alias("row"))
+    joined = whole.join(gone, "row", "left")
+    cut_ones = joined.where("gone IS NOT NULL").withColumn("new", without.asNondeterministic()(F.col("doc")[text], F.col("gone")))
+    new = cut_ones.select([(F.col("new") if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])
+    return new.unionByName(joined.where("gone IS NULL").select([F.col("doc")[c].alias(c) for c in docs.columns]))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagged paragraphs only: documents without a repeated passage have no row."""
+    """Repeated spans only: documents without a passage that another document has too have no row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return clusters(docs).select(F.col("id").alias("doc_id"), "paragraph", "start", "end", "n_words", F.col("kept_id").alias("kept_doc_id"), "kept_paragraph", "places", "removed")
+    return spans(docs).select(F.col("id").alias("doc_id"), "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), F.col("kept_id").alias("kept_doc_id"), "documents", "removed")

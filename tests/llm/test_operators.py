@@ -414,21 +414,83 @@ def test_toxicity_learns_and_ignores_held_out(spark):
     assert all(0 <= x <= 1 for x in got.values())
 
 
-def test_substring_dedup(spark, docs):
-    got = substring_dedup.clusters(docs).collect()
-    places = sorted({(i is None, i if i is not None else 0, t, k) for i, t, _ in corpus() if t for k, x in enumerate(t.split("\n")) if len(WORDS.findall(x)) >= substring_dedup.MIN_WORDS})
-    roots = brute_components([shingles(t.split("\n")[k]) for _, _, t, k in places])
-    size = Counter(roots)
-    want = Counter((None if no else i, k, size[c]) for (no, i, _, k), c in zip(places, roots, strict=True) if size[c] > 1)
-    assert Counter((r["id"], r["paragraph"], r["places"]) for r in got) == want
-    assert sum(not r["removed"] for r in got) == len({c for c in roots if size[c] > 1})
+def lowered(text):
+    return WORDS.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def passages() -> list[tuple]:
+    """Texts that share passages inside lines, over line breaks, at either end, and edited; and texts that don't."""
+    deep, broken, short = prose(51, 700).split(" "), prose(90, 701).split(" "), prose(30, 702)
+    rows = [(i, f"{prose(40 + i, 710 + i)} {' '.join(deep)} {prose(33, 730 + i)}") for i in range(4)]
+    rows += [(10 + i, f"{prose(20, 740 + i)}\n{'\n'.join(' '.join(broken[j : j + 7 + i]) for j in range(0, 90, 7 + i))} {prose(25, 750 + i)}") for i in range(4)]
+    rows += [(20, " ".join(deep) + " " + prose(60, 760)), (21, prose(60, 761) + "  \t" + "".join(c.upper() if c.isascii() else c for c in " ".join(deep))), (22, f"{prose(30, 762)} {edited(' '.join(broken), 1, 3)}")]
+    rows += [(30 + i, prose(150, 770 + i)) for i in range(12)] + [(50, f"{prose(50, 790)} {short} {prose(20, 791)}"), (51, "oh " * 300), (52, None), (53, ""), (54, prose(10, 792)), (None, prose(30, 793) + " " + " ".join(deep))]
+    return rows + [(60, prose(80, 794)), (60, prose(80, 794)), (61, f"{prose(60, 795)} {prose(60, 795)} {prose(70, 796)}")]
+
+
+def test_substring_dedup_finds_every_shared_passage(spark):
+    rows = passages()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = substring_dedup.spans(docs).collect()
+    texts = {(i, t or ""): lowered(t) for i, t in rows}
+    for a, wa in texts.items():  # brute force over all pairs and all runs of 51 words
+        runs = {tuple(wb[k : k + 51]) for b, wb in texts.items() if b != a for k in range(len(wb) - 50)}
+        places = [k for k in range(len(wa) - 50) if tuple(wa[k : k + 51]) in runs]
+        own = [(r["first_word"], r["end_word"]) for r in got if r["id"] == a[0]]
+        for k in places:
+            assert any(k <= x and min(y, k + 51) - max(x, k) >= 24 or x < k < y for x, y in own), (a[0], k, own)
+    for r in got:  # and no span without a like paragraph in another text
+        w = next(x for (i, _), x in texts.items() if i == r["id"])
+        mine = shingles(" ".join(w[r["first_word"] : r["first_word"] + 24]))
+        others = (shingles(" ".join(x[k : k + 24])) for (i, _), x in texts.items() if i != r["id"] for k in range(len(x) - 23))
+        assert any(100 * len(mine & o) >= 80 * len(mine | o) for o in others)
+    assert {r["id"] for r in got} == {0, 1, 2, 3, 10, 11, 12, 13, 20, 21, 22, None}
+    kept = {(r["id"], r["kept_id"]) for r in got if not r["removed"]}
+    assert kept == {(0, 0), (10, 10)} and {r["kept_id"] for r in got if r["removed"]} == {0, 10}
+
+
+def test_substring_dedup_within_a_document(spark):
+    rows = [(61, f"{prose(60, 795)} {prose(60, 795)} {prose(70, 796)}"), (62, prose(90, 797))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert substring_dedup.spans(docs).count() == 0
+    got = substring_dedup.spans(docs, within=True).collect()
+    assert {r["id"] for r in got} == {61} and {r["removed"] for r in got} == {True, False}
+    assert min(r["first_word"] for r in got if r["removed"]) >= 60
+
+
+def test_substring_dedup_removes_and_keeps_columns(spark):
+    rows = [(i, t, 7, "row") for i, t in passages()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, gone int, row string")
     out = substring_dedup.remove(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
+    text = {i: t for i, t, *_ in rows}
+    new = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert all(new[i] == text[i] for i in (0, 10, 30, 50, 51, 52, 53, 54, 60, 61))
+    assert all(len(new[i]) < len(text[i]) for i in (1, 2, 3, 11, 20, 21))
+    assert new[21].startswith(prose(60, 761))
+
+
+def test_cut_takes_words_and_the_space_before_them():
+    assert substring_dedup.cut("a  b\nc d", [{"first_word": 1, "end_word": 3}]) == "a d"
+    assert substring_dedup.cut("a b", [{"first_word": 0, "end_word": 2}]) == "" and substring_dedup.cut(" a b c", [{"first_word": 0, "end_word": 1}, {"first_word": 0, "end_word": 2}]) == " c"
+
+
+def test_every_passage_holds_a_common_start():
+    import pyarrow as pa
+
+    deep = prose(51, 1)
+    for i in range(60):
+        p = substring_dedup.Paragraphs(pa.array([f"{prose(i, i)} {deep} {prose(80 - i, 200 + i)}", f"{prose(30, 300 + i)} {deep}", "x " * i], pa.large_string()))
+        d = p.digests()
+        assert set(d[p.owner == 0].tolist()) & set(d[p.owner == 1].tolist())
+    loop = substring_dedup.Paragraphs(pa.array(["in " * 20_000, "a b " * 5_000], pa.large_string()))
+    assert len(loop.at) < 2_500
 
 
 def test_bands_reach_recall():
     n, rows = substring_dedup.bands()
-    assert 1 - (1 - 0.8**rows) ** n >= 0.999 and n * rows <= substring_dedup.HASHES
+    assert 1 - (1 - 0.8**rows) ** n >= substring_dedup.RECALL and n * rows <= substring_dedup.HASHES
+    assert 1 - (1 - 0.8**rows) ** n >= 0.98
 
 
 def test_components_of_chains(spark):
@@ -442,7 +504,7 @@ EMPTY = "doc_id bigint, text string"
 
 @pytest.mark.parametrize("run", [
     lambda d: jaccard_join.join_rows(d), lambda d: secrets.scan(d), lambda d: line_dedup.rewritten(d), lambda d: fingerprints.with_next(d),
-    lambda d: licenses.scan(d), lambda d: quality_rules.judge(d), lambda d: substring_dedup.clusters(d), lambda d: packing.pack_documents(d),
+    lambda d: licenses.scan(d), lambda d: quality_rules.judge(d), lambda d: substring_dedup.spans(d), lambda d: packing.pack_documents(d),
 ])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], EMPTY)).count() == 0
