@@ -1,29 +1,33 @@
-r"""Operator 10, substring dedup: paragraph MinHash banding.
-
-A paragraph is a run of ``PARAGRAPH`` consecutive words (``[^\x20\x09-\x0D]+``, A-Z in lower case), across
-line breaks. Where paragraphs start is content-defined: among each ``PASSAGE - PARAGRAPH`` successive
-places, the one whose 3-word hash is lowest starts one. So every passage of ``PASSAGE`` words or more
-holds, in every text in which it stands, the same paragraph from its first to its last word, whatever
-surrounds it and however its lines are broken.
-
-Each paragraph has a MinHash signature over its 5-word shingles, cut into bands whose number and width
-``bands`` tunes for a recall of ``RECALL`` at the threshold (equal paragraphs always meet). Paragraphs
-that share a band are verified by exact Jaccard (0.8) on their shingle sets, and components of links are
-clusters. A cluster with places in two documents or more is repeated; all its places but those in the
-first document (by doc_id, then row hash) are to be removed. Overlapping paragraphs of one document with
-the same verdict are merged into a span.
-
-Scale: two narrow passes over the texts write 1.2 band keys and 0.07 places a word; only paragraphs that
-share a key go further, and texts move once, compressed, to give these paragraphs' sets. Equal paragraphs
-are one class: a passage that is everywhere costs one row per slice of text in the candidate search. Joins
-on hot classes have one row per class on the other side, so Spark can split them.
-
-Edge cases: null and empty texts, and texts of fewer than ``PARAGRAPH`` words, have no paragraph; in a
-loop of the same few words one paragraph starts per ``PASSAGE - PARAGRAPH`` words or two; what repeats
-inside one document alone is no repeat across documents (``within`` counts it too); rows equal in doc_id
-and text count as one document and are listed once; null doc_ids come last in the order; a very long text
-is handled whole, by one task; extra columns, whatever their names, are kept by ``remove``; an empty
-table gives an empty result. MinHash banding misses a pair at exactly 0.8 with a chance of two in a hundred.
+r"""Operator 10, substring dedup: paragraph MinHash banding, and passages across paragraphs.
+
+Paragraphs are the lines of a text (split at ``\n``) with ``MIN_WORDS`` words or more. Each has a MinHash
+signature over its 5-word shingles, cut into bands whose number and width ``bands`` tunes for a recall of
+0.999 at the threshold. Paragraphs that share a band are compared in rounds and verified by exact Jaccard
+(0.8) on their words; components of links are clusters.
+
+A passage may also stand inside a longer line, or over lines of any length. So each text is read a second
+way, in *windows* of ``WINDOW`` successive words, whatever its line breaks, whose starts are content-defined:
+of ``PASSAGE - WINDOW + 1`` successive places, the one with the lowest 3-word hash starts one. Every passage
+of ``PASSAGE`` words or more then holds, in each text in which it stands, the same window from its first to
+its last word. Windows with the same words are a cluster. (In so short a window one changed word costs up to
+five of twenty shingles, so that windows at Jaccard 0.8 differ in the outer two words at most: banding them
+would find little more than equality, and takes three times the shuffle.)
+
+A cluster with places in two documents or more is repeated; all its places but those in the first document
+(by doc_id, then row hash) are to be removed. Overlapping places of one document with the same verdict are
+merged into a span. Words are ``[^\x20\x09-\x0D]+``, with A-Z in lower case.
+
+Scale: three narrow passes over the texts. Equal paragraphs are one class, written once per task, so that a
+passage that is everywhere costs one row per task; texts move once, and only paragraphs that share a band
+with another one stay. Joins on hot clusters have one row per cluster on the other side, so that Spark can
+split them.
+
+Edge cases: null and empty texts have no paragraph and no window; a text of one long line is one paragraph;
+in a loop of the same few words one window starts per ``PASSAGE - WINDOW`` words or two; what repeats inside
+one document alone is no repeat across documents (``within`` counts it too); rows equal in doc_id and text
+count as one document and are listed once; null doc_ids come last in the order; a very long text is handled
+whole, by one task; extra columns, whatever their names, are kept by ``remove``; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,21 +37,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import LINK, SHINGLE, link_rounds, packed, unpacked
+from .components import PARITIES, PARITY_SCHEMA, digests, link_rounds, may_link, parities, shingle_sets, verified
 from .text import Words, checkpoint, filled, mix, row_key, slices, table
 
-#: Words of a paragraph.
-PARAGRAPH = 24
+#: A line of fewer words is no paragraph; what it shares is found by windows.
+MIN_WORDS = 40
+THRESHOLD = 0.8
+RECALL = 0.999
+HASHES = 128
+#: Words of a window.
+WINDOW = 24
 #: Words of a passage that is sure to hold one.
 PASSAGE = 51
 #: Places for a start, of which one is taken.
-REACH = PASSAGE - PARAGRAPH + 1
-THRESHOLD = LINK / 100
-RECALL = 0.98
-HASHES = 8
+REACH = PASSAGE - WINDOW + 1
+#: Digests that a task remembers, to write equal paragraphs once.
+SEEN = 200_000
 #: Bits of a place in the keys that a minimum is taken of.
 PLACE_BITS = np.uint64(28)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -75,7 +84,7 @@ def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def starts(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where paragraphs start, as numbers into the words of all texts."""
-    ways = np.maximum(np.diff(offsets) - PARAGRAPH + 1, 0)  # places for a start in each text
+    ways = np.maximum(np.diff(offsets) - WINDOW + 1, 0)  # places for a start in each text
     if not ways.any():
         return np.zeros(0, np.int64)
     gram = rolled(hashes, 3)
@@ -105,146 +114,166 @@ def starts(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[fresh | np.concatenate([[True], part[1:] != part[:-1]])]
 
 
-class Paragraphs:
-    """The paragraphs of each text of an array: owner, first word, and their shingles as a matrix."""
-
-    def __init__(self, texts: pa.Array):
-        w = Words(texts)
-        hashes = w.hashes(w.lowered())
-        begin = starts(hashes, w.offsets)
-        self.owner = np.searchsorted(w.offsets, begin, side="right") - 1
-        self.at = begin - w.offsets[self.owner]
-        grams = rolled(hashes, SHINGLE)
-        #: sorted shingles of each paragraph; ``again`` marks those that stand there before
-        self.values = np.sort(grams[begin[:, None] + np.arange(PARAGRAPH - SHINGLE + 1)], axis=1) if len(begin) else np.zeros((0, PARAGRAPH - SHINGLE + 1), np.uint64)
-        self.again = np.zeros(self.values.shape, bool)
-        self.again[:, 1:] = self.values[:, 1:] == self.values[:, :-1]
-        self.n = (~self.again).sum(1)
-
-    def digests(self) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            sums = np.where(self.again, np.uint64(0), mix(self.values * np.uint64(0xC2B2AE3D27D4EB4F))).sum(1, dtype=np.uint64)
-            return mix(sums + self.n.astype(np.uint64)).view(np.int64)
-
-    def band_keys(self, n: int, rows: int) -> np.ndarray:
-        """Keys (paragraphs x bands) of the MinHash signatures."""
-        out = np.zeros((len(self.at), n), np.uint64)
-        with np.errstate(over="ignore"):
-            for b in range(n):
-                acc = np.full(len(self.at), np.uint64(b + 1))
-                for r in range(rows):
-                    seed = mix(np.array([b * 1000 + r + 1], np.uint64))[0]
-                    acc = mix(acc * ODD + ((self.values ^ seed) * (seed | np.uint64(1))).min(1, initial=~np.uint64(0)))
-                out[:, b] = acc
-        return out.view(np.int64)
-
-    def parities(self, words: int = 2) -> list[np.ndarray]:
-        """Parity bits of each set, in words of 64."""
-        code = mix(self.values ^ np.uint64(0x5851F42D4C957F2D))
-        bit = np.where(self.again, np.uint64(0), np.uint64(1) << (code & np.uint64(63)))
-        word = (code >> np.uint64(6)) % np.uint64(words)
-        return [np.bitwise_xor.reduce(np.where(word == k, bit, np.uint64(0)), axis=1).view(np.int64) for k in range(words)]
+def windows_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first word, digest) of each window."""
+    w = Words(texts)
+    hashes = w.hashes(w.lowered())
+    begin = starts(hashes, w.offsets)
+    owner = np.searchsorted(w.offsets, begin, side="right") - 1
+    acc = np.zeros(len(begin), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(WINDOW):
+            acc = mix(acc * ODD + hashes[begin + j])
+    return owner, begin - w.offsets[owner], acc.view(np.int64)
 
 
-def key_table(keyed: DataFrame) -> DataFrame:
-    """(key, d, times) of the distinct paragraphs of each slice of text; times is 2 if one is there again."""
-    n, rows = bands()
+def window_table(keyed: DataFrame) -> DataFrame:
+    """(row, first, d) of each window of keyed (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                p = Paragraphs(filled(part.column("text")))
-                d, first, times = np.unique(p.digests(), return_index=True, return_counts=True)
-                keys = p.band_keys(n, rows)[first]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(d, n)), pa.array(np.repeat(np.minimum(times, 2), n).astype(np.int32))], ["key", "d", "times"])
-
-    return keyed.select("text").mapInArrow(run, "key bigint, d bigint, times int")
+                owner, first, d = windows_of(filled(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(owner)), pa.array(first.astype(np.int32)), pa.array(d)], ["row", "first", "d"])
+
+    return keyed.select("row", "text").mapInArrow(run, "row bigint, first int, d bigint")
+
+
+def long_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(text number, number of the line, first word, words, the line) of each line of MIN_WORDS words."""
+    lists = pc.split_pattern(texts, "\n")
+    at = np.asarray(lists.offsets, np.int64)
+    at = at - at[0]
+    lines = lists.flatten()
+    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+    split = pc.ascii_split_whitespace(lines)
+    off = np.asarray(split.offsets, np.int64)
+    real = np.concatenate([[0], np.cumsum(pc.greater(pc.binary_length(split.flatten()), 0).to_numpy(zero_copy_only=False))])
+    ends = real[off - off[0]]
+    words = np.diff(ends)
+    pick = np.flatnonzero(words >= MIN_WORDS)
+    return owner[pick], pick - at[:-1][owner[pick]], ends[pick] - ends[at[:-1][owner[pick]]], words[pick], lines.take(pa.array(pick))
+
+
+def band_keys(values: np.ndarray, offsets: np.ndarray, n: int, rows: int) -> np.ndarray:
+    """Keys (sets x bands) of the MinHash signatures of non-empty sets."""
+    out = np.zeros((len(offsets) - 1, n), np.uint64)
+    with np.errstate(over="ignore"):
+        for b in range(n):
+            acc = np.full(len(offsets) - 1, np.uint64(b + 1))
+            for r in range(rows):
+                seed = mix(np.array([b * 1000 + r + 1], np.uint64))[0]
+                acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((values ^ seed) * (seed | np.uint64(1)), offsets[:-1]))
+            out[:, b] = acc
+    return out.view(np.int64)
 
 
-def place_table(keyed: DataFrame) -> DataFrame:
-    """(row, at, d) of each paragraph: its row, first word and class."""
+def paragraph_table(keyed: DataFrame) -> DataFrame:
+    """(row, paragraph, first, words, d, n, parities) of each paragraph of keyed (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                p = Paragraphs(filled(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(p.owner)), pa.array(p.at.astype(np.int32)), pa.array(p.digests())], ["row", "at", "d"])
+                owner, number, first, words, lines = long_lines(filled(part.column("text")))
+                values, at = shingle_sets(lines)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row").take(pa.array(owner)), *[pa.array(x.astype(np.int32)) for x in (number, first, words)], pa.array(digests(values, at)), pa.array(np.diff(at)), *parities(values, at)],
+                    ["row", "paragraph", "first", "words", "d", "n", *[p for p, *_ in PARITIES]],
+                )
 
-    return keyed.select("row", "text").mapInArrow(run, "row bigint, at int, d bigint")
+    return keyed.select("row", "text").mapInArrow(run, "row bigint, paragraph int, first int, words int, d bigint, n bigint, " + PARITY_SCHEMA)
 
 
-def set_table(found: DataFrame) -> DataFrame:
-    """(d, n, w0, w1, grams) of found (text, wanted): wanted lists the classes d asked of a text."""
+def key_table(keyed: DataFrame) -> DataFrame:
+    """(key, d) of each distinct paragraph of a task."""
+    n, rows = bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                some = batch.slice(lo, 200)
-                lists = some.column("wanted")
-                for part in slices(pa.RecordBatch.from_arrays([unpacked(some.column("text")), lists], ["text", "wanted"]), "text"):
-                    p = Paragraphs(part.column("text"))
-                    wanted = part.column("wanted")
-                    of = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(wanted.offsets, np.int64)))
-                    asked = set(zip(of.tolist(), wanted.flatten().to_pylist(), strict=True))
-                    d = p.digests()
-                    first = np.unique(np.stack([p.owner, d], 1), axis=0, return_index=True)[1] if len(d) else np.zeros(0, np.int64)
-                    pick = np.array([i for i in first.tolist() if (int(p.owner[i]), int(d[i])) in asked], np.int64)
-                    words = p.parities()
-                    own = ~p.again[pick]
-                    grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p.n[pick])]).astype(np.int32)), pa.array(p.values[pick][own].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(d[pick]), pa.array(p.n[pick].astype(np.int64)), *[pa.array(w[pick]) for w in words], grams], ["d", "n", "w0", "w1", "grams"])
-
-    return found.mapInArrow(run, "d bigint, n bigint, w0 bigint, w1 bigint, grams array<bigint>")
-
-
-def _similar(near: DataFrame, sets: DataFrame) -> DataFrame:
-    """(d, c) of the classes that link, for near (key, d) whose keys have several classes."""
-    rows = checkpoint(near.join(sets.select("d", "n", "w0", "w1"), "d").select("key", "d", "n", "w0", "w1"))
+            for part in slices(batch, "text"):
+                if len(seen) > SEEN:  # forgetting costs repeated rows, no results
+                    seen.clear()
+                *_, lines = long_lines(filled(part.column("text")))
+                values, at = shingle_sets(lines)
+                d = digests(values, at)
+                new = np.zeros(len(d), bool)
+                for i, x in enumerate(d.tolist()):
+                    new[i] = x not in seen
+                    seen.add(x)
+                if not new.any():
+                    continue
+                size = np.diff(at)
+                values, at = values[np.repeat(new, size)], np.concatenate([[0], np.cumsum(size[new])])
+                keys = band_keys(values, at, n, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(d[new], n))], ["key", "d"])
+
+    return keyed.select("row", "text").mapInArrow(run, "key bigint, d bigint")
+
+
+def texts_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(d, text) of the wanted (row, paragraph, d)."""
+    lines = F.split("text", "\n", -1)
+    listed = wanted.groupBy("row").agg(F.collect_set(F.struct("paragraph", "d")).alias("w"))
+    found = keyed.select("row", "text").join(listed, "row").select(lines.alias("l"), F.explode("w").alias("w"))
+    return found.groupBy("w.d").agg(F.first(F.get(F.col("l"), F.col("w.paragraph").cast("int"))).alias("text"))
+
+
+def similar(keyed: DataFrame, lines: DataFrame) -> DataFrame:
+    """(d, c) of the classes of paragraphs that link with another one."""
+    classes = checkpoint(lines.groupBy("d").agg(F.min(F.struct("row", "paragraph")).alias("at"), *[F.first(c).alias(c) for c in ("n", *[p for p, *_ in PARITIES])]))
+    # what joins ask of keys stands here for all readers, so that one exchange serves them
+    keys = key_table(keyed).where("key IS NOT NULL AND d IS NOT NULL").repartition("key")
+    shared = keys.groupBy("key").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1").select("key")
+    own = classes.selectExpr("d", "n", *[f"p4[{i}] as w{i}" for i in range(4)])
+    rows = checkpoint(keys.join(shared, "key").distinct().join(own, "d"))
+    wanted = rows.select("d").distinct().join(classes.select("d", "at.row", "at.paragraph"), "d")
+    texts = checkpoint(texts_of(keyed, wanted))
+    wide = [p for p, *_ in PARITIES[1:]]
+    side = lambda x: classes.select(F.col("d").alias(x), F.struct("n", *wide).alias(f"s{x}"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.selectExpr("d as a", "n as na", "grams as ga"), "a").join(sets.selectExpr("d as b", "n as nb", "grams as gb"), "b")
-        common = F.size(F.array_intersect("ga", "gb"))
-        return both.where(100 * common >= LINK * (F.col("na") + F.col("nb") - common)).select("a", "b")
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link(wide, "sa", "sb")).select("a", "b")
+        return verified(near, texts)
 
     return link_rounds(rows, verify)
 
 
 def places(docs: DataFrame, text: str = "text", id_column: str = "doc_id", within: bool = False) -> DataFrame:
-    """A row per place of a repeated paragraph: id, row (hash), at (first word), c (cluster),
-    kept_id, kept_row, documents (that have the cluster), removed."""
+    """A row per place of a repeated paragraph or window: id, row (hash), first and end (words, end
+    exclusive), c (cluster), kept_id, kept_row, documents (that have the cluster), removed."""
     keyed = docs.select(row_key(id_column, text).alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keys = key_table(keyed).repartition("key")
-    shared = keys.groupBy("key").agg(F.sum("times").alias("t"), F.min("d").alias("d0"), F.max("d").alias("d1")).where("t > 1").select("key", F.expr("d0 <> d1").alias("near"))
-    rows = checkpoint(keys.join(shared, "key").groupBy("key", "d", "near").agg(F.sum("times").alias("times")))
-    near = rows.where("near").select("key", "d")
-    wanted = rows.groupBy("d").agg(F.max("times").alias("times"), F.bool_or("near").alias("near"))
-    found = checkpoint(place_table(keyed).join(wanted, "d"))
-    one = found.where("near").groupBy("d").agg(F.min("row").alias("row")).groupBy("row").agg(F.collect_list("d").alias("wanted"))
-    sets = checkpoint(set_table(packed(keyed).join(one, "row").select("text", "wanted")).dropDuplicates(["d"]))
-    labels = _similar(near, sets)
-    ids = keyed.select("row", "id").distinct()
-    named = found.select("row", "at", "d").join(labels, "d", "left").select("row", "at", F.coalesce("c", "d").alias("c"))
-    per_row = checkpoint(named.groupBy("c", "row").agg(F.sort_array(F.collect_set("at")).alias("ats")).join(ids, "row"))
+    lines = checkpoint(paragraph_table(keyed))
+    labels = similar(keyed, lines)
+    of_lines = lines.join(labels, "d", "left").select("row", "first", (F.col("first") + F.col("words")).alias("end"), F.coalesce("c", "d").alias("c"))
+    dealt = checkpoint(window_table(keyed))
+    many = F.min("row") != F.max("row")
+    if within:
+        many = many | (F.max("first") - F.min("first") >= WINDOW)
+    again = dealt.groupBy("d").agg(many.alias("many")).where("many").select("d")
+    of_windows = dealt.join(again, "d").select("row", "first", (F.col("first") + WINDOW).alias("end"), F.col("d").alias("c"))
+    per_row = of_lines.unionByName(of_windows).groupBy("c", "row").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("ats"))
+    per_row = checkpoint(per_row.join(keyed.select("row", "id").distinct(), "row"))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    apart = F.max(F.element_at("ats", -1) - F.get("ats", F.lit(0)))
     repeated = F.col("documents") > 1
     if within:
-        repeated = repeated | (F.col("apart") >= PARAGRAPH)
+        repeated = repeated | F.col("apart")
+    apart = F.bool_or(F.element_at("ats", -1)["first"] >= F.get("ats", F.lit(0))["end"])
     of = per_row.groupBy("c").agg(F.count(F.lit(1)).alias("documents"), F.min(place).alias("kept"), apart.alias("apart")).where(repeated).select("c", "documents", "kept")
     out = per_row.join(of, "c").select("id", "row", "c", F.posexplode("ats").alias("nth", "at"), "kept", "documents")
     gone = (F.col("row") != F.col("kept.row")) | (F.lit(within) & (F.col("nth") > 0))
-    return out.select("id", "row", "at", "c", F.col("kept.id").alias("kept_id"), F.col("kept.row").alias("kept_row"), "documents", gone.alias("removed"))
+    return out.select("id", "row", "at.first", "at.end", "c", F.col("kept.id").alias("kept_id"), F.col("kept.row").alias("kept_row"), "documents", gone.alias("removed"))
 
 
 def spans(docs: DataFrame, text: str = "text", id_column: str = "doc_id", within: bool = False) -> DataFrame:
     """Repeated spans: id, row, first_word, end_word (exclusive), kept_id and documents (of the span's
-    first paragraph), removed."""
-    order = Window.partitionBy("row", "removed").orderBy("at", "c")
-    new = F.coalesce((F.col("at") > F.lag("at").over(order) + PARAGRAPH).cast("int"), F.lit(1))
-    island = places(docs, text, id_column, within).withColumn("_new", new)
+    first place), removed."""
+    order = Window.partitionBy("row", "removed").orderBy("first", "end", "c")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    island = places(docs, text, id_column, within).withColumn("_new", F.coalesce((F.col("first") > F.max("end").over(before)).cast("int"), F.lit(1)))
     island = island.withColumn("_nth", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min(F.struct("at", "c", "kept_id", "documents"))
-    merged = island.groupBy("row", "removed", "_nth").agg(F.first("id").alias("id"), F.min("at").alias("first_word"), (F.max("at") + PARAGRAPH).alias("end_word"), first.alias("f"))
+    head = F.min(F.struct("first", "end", "c", "kept_id", "documents"))
+    merged = island.groupBy("row", "removed", "_nth").agg(F.first("id").alias("id"), F.min("first").alias("first_word"), F.max("end").alias("end_word"), head.alias("f"))
     return merged.select("id", "row", "first_word", "end_word", F.col("f.kept_id").alias("kept_id"), F.col("f.documents").alias("documents"), "removed")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once (one longer text is still taken whole). The arrays made
 #: from a slice take some twenty times as much, so this bounds a Python worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +59,12 @@ def row_key(*cols: str):
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about SLICE_BYTES of text, at least one row."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds about ``limit`` bytes of text, at least one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     if len(sizes) == 0:
         return
-    part = np.cumsum(sizes) // SLICE_BYTES
+    part = np.cumsum(sizes) // limit
     cuts = np.flatnonzero(np.diff(part)) + 1
     for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
         if hi > lo:
@@ -78,7 +78,7 @@ def filled(column: pa.Array) -> pa.Array:
 
 def array_slices(texts: pa.Array) -> Iterator[pa.Array]:
     """The texts of an Arrow UDF's batch in slices, nulls as empty ones."""
-    for part in slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t"):
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t", SLICE_BYTES // 2):
         yield filled(part.column("t"))
 
 
