@@ -14,9 +14,10 @@ and the only wide step is the one that pairs a document with the next one. It so
 ids, each cut evenly, so that a range holds about ``RANGE_ROWS`` rows; null ids are cut by row
 hash. A narrow table with the first row of each range links the ranges.
 
-Edge cases: a null text counts as empty; rows equal in doc_id and text count as one document and
-give equal rows; rows equal in doc_id are ordered by row hash, null ids come last; a document that
-is alone is its own next; an empty table gives an empty result.
+Edge cases: a null text counts as empty; rows equal in doc_id and text count as one document in
+the order and give as many equal rows; rows equal in doc_id are ordered by row hash, null ids come last; a document that
+is alone is its own next; extra columns are left aside, whatever
+their names; ids are numbers; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -94,7 +95,8 @@ def _range_of(ids: DataFrame) -> Column:
 
 def with_next(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Distinct (_f_id, _f_text, _f_own) with _f_next and _f_next_own: the text that follows by
-    descending id, in a ring. _f_own is the text's sketch, made once and moved along with it."""
+    descending id, in a ring, and _f_copies, the number of rows that are equal to this one. _f_own is
+    the text's sketch, made once and moved along with it."""
     rows = docs.select(F.col(id_column).alias("_f_id"), F.coalesce(F.col(text), F.lit("")).alias("_f_text")).withColumn("_f_key", row_key("_f_id", "_f_text"))
     ids = checkpoint(rows.select("_f_id", "_f_key").groupBy("_f_id", "_f_key").count())
     own = _range_of(ids)
@@ -106,8 +108,8 @@ def with_next(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     first_texts = rows.join(F.broadcast(ring) if ids.count() <= 10_000 * RANGE_ROWS else ring, "_f_key").groupBy("_f_range").agg(F.first("_f_text").alias("_f_head")).withColumn("_f_head_own", sketch(F.col("_f_head")))
     inside = Window.partitionBy("_f_range").orderBy(*order)
     # equal rows stand side by side, and look past each other
-    pairs = rows.withColumn("_f_own", sketch(F.col("_f_text"))).withColumn("_f_range", own).withColumn("_f_copy", F.row_number().over(inside) - F.rank().over(inside)).where("_f_copy = 0").withColumn("_f_lead", F.lead("_f_text").over(inside)).withColumn("_f_lead_own", F.lead("_f_own").over(inside))
-    return pairs.join(first_texts, "_f_range", "left").select("_f_id", "_f_key", "_f_text", "_f_own", F.coalesce("_f_lead", "_f_head").alias("_f_next"), F.coalesce("_f_lead_own", "_f_head_own").alias("_f_next_own"))
+    pairs = rows.withColumn("_f_own", sketch(F.col("_f_text"))).withColumn("_f_range", own).withColumn("_f_copies", F.count(F.lit(1)).over(inside.rangeBetween(Window.currentRow, Window.currentRow))).withColumn("_f_copy", F.row_number().over(inside) - F.rank().over(inside)).where("_f_copy = 0").withColumn("_f_lead", F.lead("_f_text").over(inside)).withColumn("_f_lead_own", F.lead("_f_own").over(inside))
+    return pairs.join(first_texts, "_f_range", "left").select("_f_id", "_f_key", "_f_text", "_f_own", "_f_copies", F.coalesce("_f_lead", "_f_head").alias("_f_next"), F.coalesce("_f_lead_own", "_f_head_own").alias("_f_next_own"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("a", F.col("_f_own")).withColumn("b", sketch(F.col("_f_edited"))).withColumn("c", F.col("_f_next_own"))
     rows = rows.withColumn("pa", fingerprint(F.col("_f_text"), F.col("a"))).withColumn("pb", fingerprint(F.col("_f_edited"), F.col("b"))).withColumn("pc", fingerprint(F.col("_f_next"), F.col("c")))
     near = lambda x: likeness(F.col("a"), F.col(x), F.col("pa"), F.col(f"p{x}"))
-    return rows.select(
+    done = rows.select(
         F.col("_f_id").alias("doc_id"),
         n.cast("bigint").alias("n_chars"),
         F.sha2("_f_edited", 256).alias("edited_sha256"),
@@ -127,7 +129,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("pb").alias("edited_fingerprint"),
         near("b").alias("near_edited"),
         near("c").alias("near_next"),
+        F.expr("sequence(1L, _f_copies)").alias("_f_copies"),
     )
+    # a finished row is repeated for each row that it stands for
+    return done.select(*[c for c in done.columns if c != "_f_copies"], F.explode("_f_copies").alias("_f_copy")).drop("_f_copy")
 
 
 def _sketch_sql(text: str) -> str:

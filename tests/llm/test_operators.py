@@ -207,9 +207,9 @@ def test_fingerprints(spark, docs, tmp_path):
     docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     got = fingerprints.op3_fingerprints(spark, str(tmp_path)).collect()
     distinct = {(i, t or "") for i, t, _ in corpus()}
-    assert len(got) == len(distinct)
-    ids = [r["doc_id"] for r in got]
-    assert Counter(ids) == Counter(i for i, _ in distinct)
+    assert len(got) == len(corpus())  # no row is lost, equal ones give equal results
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in corpus())
+    assert len({tuple(r) for r in got if r["doc_id"] == 311}) == 1
     text = {i: t for i, t in distinct if i is not None}
     order = sorted(text, reverse=True)
     for r in got:
