@@ -41,31 +41,42 @@ def triples(counts: DataFrame, value: str) -> DataFrame:
     return counts.where(F.col(value) != 0)
 
 
-def pooled_isoforms(counts: DataFrame, by: list[str], isoform: str = "Isoform", share: float = 0.1, pool_novel: bool = True) -> DataFrame:
-    """Isoforms with enough of either haplotype, the rest as Other, novel ones as Novel."""
+def pooled_isoforms(counts: DataFrame, by: list[str], isoform: str = "Isoform", share: float = 0.1, pool_novel: bool = False, prefix: str | None = None) -> DataFrame:
+    """Isoforms with enough of either haplotype, the rest as Other, novel ones as Novel if asked.
+
+    With ``prefix``, a column of ``by``, pooled rows are named ``<prefix>_Other`` and ``<prefix>_Novel``.
+    """
+    label = lambda x: F.concat(F.col(prefix), F.lit(x)) if prefix else F.lit(x)
     kept = counts.where(~F.lower(F.col(isoform)).contains("uncategorized"))
-    name = F.when(F.lower(F.col(isoform)).contains("novel"), F.lit("_Novel")).otherwise(F.col(isoform)) if pool_novel else F.col(isoform)
+    name = F.when(F.lower(F.col(isoform)).contains("novel"), label("_Novel")).otherwise(F.col(isoform)) if pool_novel else F.col(isoform)
     once = kept.withColumn(isoform, name).groupBy(*by, isoform).agg(F.sum("hapA").alias("hapA"), F.sum("hapB").alias("hapB"))
     group = Window.partitionBy(*by)
     part = lambda c: F.col(c) / F.nullif(F.sum(c).over(group), F.lit(0.0))
     enough = F.coalesce(part("hapA") >= share, F.lit(False)) | F.coalesce(part("hapB") >= share, F.lit(False))
     marked = once.withColumn("_keep", enough)
-    return marked.withColumn(isoform, F.when(F.col("_keep"), F.col(isoform)).otherwise(F.lit("_Other"))).groupBy(*by, isoform).agg(F.sum("hapA").alias("hapA"), F.sum("hapB").alias("hapB"))
+    return marked.withColumn(isoform, F.when(F.col("_keep"), F.col(isoform)).otherwise(label("_Other"))).groupBy(*by, isoform).agg(F.sum("hapA").alias("hapA"), F.sum("hapB").alias("hapB"))
 
 
 def most_imbalanced(tables: DataFrame, items: str = "missing", a: str = "totalA", b: str = "totalB") -> DataFrame:
-    """Give each missing isoform in order to the haplotype that widens the gap of shares.
+    """Give each missing isoform in order to the haplotype of which it would be the larger share.
 
-    ``items`` is an ordered array of weights; the fold's result is in _imbalance (a, b).
+    ``items`` is an ordered array of weights; zero weights are passed over. Against an empty other
+    side a share counts as infinite; ties go to the larger total, then to A. ``_imbalance`` has the
+    totals (a, b) and ``rows``, what each isoform adds to either side, for the test on the table.
     """
-    zero = F.struct(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    none = F.expr("cast(array() as array<struct<a:double,b:double>>)")
+    zero = F.struct(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), none.alias("rows"))
 
     def step(s: Column, w: Column) -> Column:
-        gap = lambda x, y: F.abs(x - y) / F.nullif(x + y, F.lit(0.0))
-        to_a = F.coalesce(gap(s["a"] + w, s["b"]), F.lit(0.0)) >= F.coalesce(gap(s["a"], s["b"] + w), F.lit(0.0))
-        return F.struct((s["a"] + F.when(to_a, w).otherwise(0.0)).alias("a"), (s["b"] + F.when(to_a, 0.0).otherwise(w)).alias("b"))
-
-    return tables.withColumn("_imbalance", F.aggregate(items, zero, step))
+        share = lambda own, other: F.when(other > 0, w / (own + w)).otherwise(F.lit(float("inf")))
+        to_a, to_b = share(s["a"], s["b"]), share(s["b"], s["a"])
+        on_a = (to_a > to_b) | ((to_a == to_b) & (s["a"] >= s["b"]))
+        row = F.struct(F.when(on_a, w).otherwise(0.0).alias("a"), F.when(on_a, 0.0).otherwise(w).alias("b"))
+        moved = F.struct((s["a"] + row["a"]).alias("a"), (s["b"] + row["b"]).alias("b"), F.concat(s["rows"], F.array(row)).alias("rows"))
+        return F.when(w == 0, s).otherwise(moved)
+
+    weights = F.transform(items, lambda w: w.cast("double"))
+    return tables.withColumn("_imbalance", F.aggregate(weights, zero, step))
 
 
 def p_bounds(*p: Column) -> tuple[Column, Column]:

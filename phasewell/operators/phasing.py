@@ -75,38 +75,72 @@ def observed_loglik(codes: DataFrame, sites: DataFrame, alpha: Column, gene: lis
     return _log_sides(codes, sites, gene).groupBy(*gene).agg(F.sum(top + F.log(F.exp(a - top) + F.exp(b - top))).alias("loglik"))
 
 
-def keep_mask(scores: np.ndarray, high: float = 0.9, tau: float = 0.1, min_keep: int = 2, max_keep: int | None = None) -> np.ndarray:
-    """Sites that steer the phasing (F14): sure ones, else above the widest gap, else the upper half."""
-    n = len(scores)
+def _within(scores: np.ndarray, keep: np.ndarray, least: int, most: int | None) -> np.ndarray:
+    """keep, or the best sites where it has too many or too few."""
     order = np.argsort(-scores, kind="stable")
-    keep = np.zeros(n, bool)
-    sure = scores >= high
-    if sure.any():
-        keep |= sure
-        keep[order[: max(int(sure.sum()), min(min_keep, n))]] = True
-        if max_keep is not None and keep.sum() > max_keep:
-            keep[:] = False
-            keep[order[:max_keep]] = True
+    size = int(keep.sum())
+    size = size if most is None else min(size, most)
+    size = max(size, min(least, len(scores)))
+    if size == keep.sum():
         return keep
-    s = scores[order]
+    out = np.zeros(len(scores), bool)
+    out[order[:size]] = True
+    return out
+
+
+def _above_gap(scores: np.ndarray, tau: float) -> np.ndarray | None:
+    """Sites above the middle of the widest gap of scores, None if it is narrower than tau."""
+    s = np.sort(scores)[::-1]
     gaps = s[:-1] - s[1:]
-    if len(gaps) and gaps.max() >= tau:
-        k = int(gaps.argmax())
-        return scores >= (s[k] + s[k + 1]) / 2
-    return scores >= np.median(scores)
+    if not len(gaps) or gaps.max() < tau:
+        return None
+    k = int(gaps.argmax())
+    return scores >= (s[k] + s[k + 1]) / 2
+
+
+def keep_mask(scores: np.ndarray, high: float = 0.9, tau: float = 0.1, min_keep: int = 4, max_keep: int | None = None) -> np.ndarray:
+    """Sites that steer the phasing (F14): sure ones, else above the widest gap, else the upper half.
+
+    At least ``min_keep`` and at most ``max_keep`` of them, whichever rule chose.
+    """
+    if not len(scores):
+        return np.zeros(0, bool)
+    keep = scores >= high
+    if not keep.any():
+        gap = _above_gap(scores, tau)
+        keep = scores >= np.median(scores) if gap is None else gap
+    return _within(scores, keep, min_keep, max_keep)
+
+
+def gap_mask(scores: np.ndarray, tau: float = 0.1, min_keep: int = 4) -> np.ndarray:
+    """Sites above the widest gap, or all: for scores that a scoring step has pruned before."""
+    gap = _above_gap(scores, tau) if len(scores) > min_keep else None
+    return np.ones(len(scores), bool) if gap is None else _within(scores, gap, min_keep, None)
+
+
+def _two_means(x: np.ndarray) -> np.ndarray:
+    """The split of numbers into two groups with the least sum of squares, found among all sorted cuts."""
+    order = np.argsort(x, kind="stable")
+    s = x[order]
+    n, k = len(s), np.arange(1, len(s))
+    low = np.cumsum(s)[:-1]
+    between = low**2 / k + (s.sum() - low) ** 2 / (n - k)  # largest where the inner squares are least
+    out = np.zeros(n, bool)
+    out[order[int(between.argmax()) + 1 :]] = True
+    return out
 
 
 def _first_phase(alt: np.ndarray, seen: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Two groups of sites by the sign of the leading split of their co-occurrence (M2)."""
+    """Two groups of sites from the leading split of their co-occurrence (M2): spectral clustering."""
     m = alt.shape[1]
     if m == 1:
         return np.ones(1)
     together = alt.T @ alt
     np.fill_diagonal(together, 0.0)
     degree = together.sum(1)
-    scale = 1 / np.sqrt(np.maximum(degree, 1e-12))
+    scale = 1 / np.sqrt(np.where(degree > 0, degree, 1.0))
     _, vectors = np.linalg.eigh(np.eye(m) - scale[:, None] * together * scale[None, :])
-    group = vectors[:, 1] >= np.median(vectors[:, 1]) if m > 2 else np.array([True, False])
+    group = _two_means(vectors[:, 1] * scale)
     link = np.array([together[i, (group == group[i]) & (np.arange(m) != i)].mean() if (group == group[i]).sum() > 1 else 0.0 for i in range(m)])
     return np.where(link >= np.median(link), np.where(group, 0.9, 0.1), 0.5 + rng.uniform(-1e-3, 1e-3, m))
 
@@ -122,24 +156,25 @@ class Phased:
     rounds: int
 
 
-def phase(code: np.ndarray, error: np.ndarray, score: np.ndarray, *, max_iter: int = 50, tol: float = 1e-3, seed: int = 42, fixed_alpha: float | None = None, frozen: tuple[np.ndarray, np.ndarray] | None = None, filter_sites: bool = True) -> Phased:
+def phase(code: np.ndarray, error: np.ndarray, score: np.ndarray, *, max_iter: int = 50, tol: float = 1e-3, seed: int = 42, fixed_alpha: float | None = None, frozen: tuple[np.ndarray, np.ndarray] | None = None, filter_sites: bool = True, scored: bool = False) -> Phased:
     """EM on one gene (M4-M7, M9): code is reads x sites, -1 for missing.
 
     The site update minimises a convex function on [0, 1]; one bisection on its derivative does
-    all sites at once.
+    all sites at once. ``scored`` says that the scores come from a scoring step that has pruned
+    sites before (F15). Rounds end when parameters or the observed log-likelihood stand still.
     """
     n, m = code.shape
     seen = code >= 0
     ref, alt = code == 0, code == 1
     noise = np.where(ref, 1 - error, np.where(alt, error / 3, 2 * error / 3))
-    keep = keep_mask(score) if filter_sites and m > 5 and frozen is None else np.ones(m, bool)
+    keep = (gap_mask if scored else keep_mask)(score) if filter_sites and m > 5 and frozen is None else np.ones(m, bool)
     if frozen is not None:
         h, marker = frozen[0].copy(), frozen[1].copy()
         keep = marker > 0
     else:
         h = np.full(m, 0.5)
         h[keep] = _first_phase((alt & seen)[:, keep].astype(float), seen[:, keep], np.random.default_rng(seed))
-        marker = np.where(keep, np.clip(score, 0.05, 0.95), 0.0)
+        marker = np.where(keep, np.clip(score, 1e-6, 1 - 1e-6), 0.0)
     phasable = (seen & keep[None, :]).any(1)
     alpha = 0.5 if fixed_alpha is None else fixed_alpha
     hat = np.full(n, 0.5)

@@ -367,10 +367,26 @@ def subset_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return downstream.upsert(p, p.where("v = 7").withColumn("v", F.col("v") + 1000), ["gene", "ct"])
 
 
-@query("""SELECT DISTINCT c_custkey AS cell FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT DISTINCT p_brand AS gene, p_type AS ct FROM part EXCEPT SELECT p_brand, p_type FROM part WHERE p_size = 7""")
 def audit_missing_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U2, C17, J14."""
-    return downstream.missing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cell")), ["cell"])
+    """Brands and types without a part of one size."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene"), F.col("p_type").alias("ct"), "p_size")
+    return downstream.missing(p, p.where("p_size = 7"), ["gene", "ct"])
+
+
+@query("""WITH RECURSIVE m AS (SELECT p_brand AS gene, p_size AS w, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_size < 8),
+t AS (SELECT p_brand AS gene, sum(CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN p_partkey % 3 = 1 THEN p_size ELSE 0 END)::DOUBLE AS b FROM part WHERE p_size > 45 GROUP BY 1),
+f AS (SELECT gene, a, b, 0::BIGINT AS k FROM t UNION ALL SELECT f.gene, CASE WHEN x.on_a THEN f.a + m.w ELSE f.a END, CASE WHEN x.on_a THEN f.b ELSE f.b + m.w END, m.k FROM f JOIN m ON m.gene = f.gene AND m.k = f.k + 1,
+LATERAL (SELECT CASE WHEN f.b = 0 AND f.a = 0 THEN true WHEN f.b = 0 THEN true WHEN f.a = 0 THEN false WHEN f.a = f.b THEN true ELSE m.w / (f.a + m.w) > m.w / (f.b + m.w) END AS on_a) x)
+SELECT gene AS "geneID", a, b FROM f QUALIFY row_number() OVER (PARTITION BY gene ORDER BY k DESC) = 1""")
+def most_imbalanced_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("geneID"), F.col("p_partkey").alias("pos"), F.col("p_size").alias("w"))
+    part = lambda r: F.sum(F.when(F.col("pos") % 3 == r, F.col("w")).otherwise(0)).cast("double")
+    totals = p.where("w > 45").groupBy("geneID").agg(part(0).alias("totalA"), part(1).alias("totalB"))
+    items = p.where("w < 8").groupBy("geneID").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("missing"))
+    out = downstream.most_imbalanced(totals.join(items, "geneID", "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<int>"))))
+    return out.select("geneID", F.col("_imbalance.a").alias("a"), F.col("_imbalance.b").alias("b"))
 
 
 @query(f"""WITH {SQL_WEIGHTS}, al AS (SELECT DISTINCT gene, rd, CASE WHEN l_returnflag = 'N' THEN 0 WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS r FROM w JOIN lineitem ON l_orderkey = rd AND l_partkey = pos), me AS (SELECT DISTINCT gene, rd, iso IN ('ECONOMY', 'PROMO') OR pos % 2 = 0 AS has FROM w),

@@ -24,7 +24,7 @@ def test_every_oracle_names_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["balance_fdr", "em_input_codes", "isoform_bucket_other", "exonic_distance_link", "event_2x2_chisq"])
+@pytest.mark.parametrize("name", ["balance_fdr", "em_input_codes", "isoform_bucket_other", "exonic_distance_link", "event_2x2_chisq", "audit_missing_sets", "most_imbalanced_totals"])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -162,15 +162,44 @@ def test_a_failing_gene_is_not_left_out(spark):
 
 
 def test_keep_mask_branches():
-    assert phasing.keep_mask(np.array([0.95, 0.92, 0.1])).tolist() == [True, True, False]
-    assert phasing.keep_mask(np.array([0.95, 0.5, 0.1])).tolist() == [True, True, False]
-    assert phasing.keep_mask(np.array([0.8, 0.75, 0.2])).tolist() == [True, True, False]
-    assert phasing.keep_mask(np.array([0.5, 0.48, 0.46])).tolist() == [True, True, False]
-
-
-def test_most_imbalanced_follows_the_order(spark):
-    df = spark.createDataFrame([(3.0, 1.0, [2.0, 5.0])], "totalA double, totalB double, missing array<double>")
-    assert tuple(downstream.most_imbalanced(df).first()["_imbalance"]) == (10.0, 1.0)
+    keep = lambda x, **k: phasing.keep_mask(np.array(x), **k).tolist()
+    assert keep([0.95, 0.92, 0.1], min_keep=2) == [True, True, False]
+    assert keep([0.95, 0.5, 0.1], min_keep=2) == [True, True, False]
+    assert keep([0.8, 0.75, 0.2], min_keep=2) == [True, True, False]
+    assert keep([0.5, 0.48, 0.46], min_keep=2) == [True, True, False]
+    # four at least by default, in every branch, and no more than asked
+    assert keep([0.95, 0.1, 0.2, 0.3, 0.4, 0.5]) == [True, False, False, True, True, True]
+    assert keep([0.8, 0.75, 0.2, 0.19, 0.18, 0.17]) == [True, True, True, True, False, False]
+    assert keep([0.99] * 6, max_keep=5).count(True) == 5 and keep([0.5, 0.49, 0.48, 0.47, 0.46, 0.45], max_keep=4, min_keep=1).count(True) == 3
+    assert keep([]) == []
+
+
+def test_gap_mask_keeps_all_without_a_gap():
+    assert phasing.gap_mask(np.array([0.5, 0.45, 0.44, 0.43, 0.42])).all()
+    assert phasing.gap_mask(np.array([0.9, 0.88, 0.87, 0.86, 0.3, 0.2])).tolist() == [True] * 4 + [False] * 2
+    assert phasing.gap_mask(np.array([0.9, 0.1, 0.09, 0.08, 0.07])).sum() == 4
+
+
+def test_first_phase_finds_uneven_groups():
+    """Nine sites on one haplotype and three on the other: no half and half split."""
+    r = np.random.default_rng(5)
+    hap, side = r.random(200) < 0.5, np.arange(12) < 9
+    alt = ((hap[:, None] == side[None, :]) & (r.random((200, 12)) < 0.95)).astype(float)
+    start = phasing._first_phase(alt, np.ones_like(alt, bool), r)
+    told = np.abs(start - 0.5) > 0.1
+    assert told.sum() >= 6 and len({(bool(x), bool(s)) for x, s in zip(start[told] > 0.5, side[told], strict=True)}) <= 2
+
+
+def test_most_imbalanced_gives_to_the_larger_share(spark):
+    df = spark.createDataFrame([(1, 3.0, 1.0, [2.0, 5.0]), (2, 10.0, 5.0, [3.0]), (3, 6.0, 6.0, [2.0, 2.0]), (4, 4.0, 0.0, [1.0]), (5, 1.0, 1.0, [0.0])], "i int, totalA double, totalB double, missing array<double>")
+    got = {r["i"]: (r["_imbalance"]["a"], r["_imbalance"]["b"], len(r["_imbalance"]["rows"])) for r in downstream.most_imbalanced(df).collect()}
+    assert got == {1: (8, 3, 2), 2: (10, 8, 1), 3: (8, 8, 2), 4: (5, 0, 1), 5: (1, 1, 0)}
+
+
+def test_pooled_isoforms_carry_the_prefix(spark):
+    df = spark.createDataFrame([("g", "t", 90.0, 90.0), ("g", "novel1", 1.0, 1.0), ("g", "u", 2.0, 2.0)], "geneID string, Isoform string, hapA double, hapB double")
+    name = lambda **k: {r["Isoform"] for r in downstream.pooled_isoforms(df, ["geneID"], prefix="geneID", **k).collect()}
+    assert name() == {"t", "g_Other"} and name(pool_novel=True, share=0.005) == {"t", "g_Novel", "u"}
 
 
 def test_overlap_sums_make_no_pairs_or_lists(spark):
