@@ -204,46 +204,28 @@ def columns(prices: np.ndarray, size: int) -> tuple[float, list[tuple[float, dic
     return float(worth[size]), out
 
 
-def reachable(lengths: list[int], size: int) -> np.ndarray:
-    """Whether each room from 0 to size can be filled to the last token by copies of the lengths."""
-    sums, mask = 1, (1 << (size + 1)) - 1
-    for n in lengths:
-        step = n
-        while step <= size:  # copies by doubling
-            sums |= (sums << step) & mask
-            step *= 2
-    return np.array([sums >> r & 1 for r in range(size + 1)], bool)
-
-
 def first_basis(need: np.ndarray, lengths: np.ndarray, size: int) -> list[dict[int, int]]:
     """As many configurations as lengths, which cover all of them: each uses up one length.
 
-    The longest that is left is filled up with the longest after which the room can still be filled
-    to the last token, where there is one (in fractions of sequences). Each configuration holds a length that no later one has, so they are independent.
+    The longest that is left is filled up with the longest that fit, in fractions of sequences.
+    Each configuration holds a length that no later one has, so they are independent.
     """
-    left = need.astype(float).copy()
-    there = np.ones(len(lengths), bool)
+    left = {int(n): float(x) for n, x in zip(lengths, need, strict=True)}
+    order = sorted(left, reverse=True)
     out = []
-    while there.any():
-        fits = reachable(lengths[there].tolist(), size)
+    while order:
         config: dict[int, int] = {}
-        room, pick = size, int(np.flatnonzero(there)[-1])
-        while pick >= 0:
-            config[pick] = config.get(pick, 0) + 1
-            room -= int(lengths[pick])
-            some = np.flatnonzero(there & (lengths <= room))
-            exact = some[fits[room - lengths[some]]]
-            if len(exact):
-                # the longest, for as many copies as are left of it
-                room_for = np.array([config.get(i, 0) < max(1, int(left[i])) for i in exact.tolist()])
-                pick = int(exact[room_for][-1]) if room_for.any() else int(exact[-1])
-            else:
-                pick = int(some[-1]) if len(some) else -1
-        step, gone = min((left[i] / k, i) for i, k in config.items())
-        for i, k in config.items():
-            left[i] = max(0.0, left[i] - step * k)
-        there[gone] = False
-        out.append({int(lengths[i]): k for i, k in config.items()})
+        room = size
+        for n in order:
+            k = min(room // n, max(1, int(left[n])))
+            if k:
+                config[n] = k
+                room -= k * n
+        step, gone = min((left[n] / k, n) for n, k in config.items())
+        for n, k in config.items():
+            left[n] = max(0.0, left[n] - step * k)
+        order.remove(gone)
+        out.append(config)
     return out
 
 

@@ -338,20 +338,6 @@ def test_packing_bound_comes_from_prices_where_long_pieces_do_not_pair():
     assert abs(sum(used.values()) - 2000) <= 2 and bound > 1997
 
 
-def test_reachable_rooms_are_sums_of_lengths():
-    got = np.flatnonzero(packing.reachable([5, 8], 24)).tolist()
-    assert got == sorted({5 * a + 8 * b for a in range(5) for b in range(4) if 5 * a + 8 * b <= 24})
-
-
-def test_first_basis_covers_all_lengths():
-    r = np.random.default_rng(9)
-    lengths = np.sort(r.choice(np.arange(1, 1024), 300, replace=False))
-    need = r.integers(1, 60, 300).astype(float)
-    basis = packing.first_basis(need, lengths, 1024)
-    matrix = np.array([[c.get(int(n), 0) for c in basis] for n in lengths], float)
-    assert (np.linalg.solve(matrix, need) > -1e-6).all() and all(sum(n * k for n, k in c.items()) <= 1024 for c in basis)
-
-
 def test_best_configuration():
     prices = np.zeros(11)
     prices[[3, 4, 7]] = [3.1, 4.0, 7.2]
