@@ -40,6 +40,8 @@ SEQUENCE = 1024
 END = 2
 #: The linear program is solved when it is proven to be within this share of its bound.
 GAP = 1e-4
+#: Pricings that must together save more than ``GAP`` of the bound, else the tail is left to the rounding.
+STALL = 40
 #: Columns that may enter the basis between two pricings.
 ENTER = 60
 #: How far prices are drawn towards length / size, pricing by pricing.
@@ -297,7 +299,11 @@ def solve(counts: np.ndarray, size: int, gap: float = GAP) -> tuple[dict[tuple[i
             inverse, used, price = afresh()
         return True
 
-    while used[[not isinstance(c, int) for c in basis]].sum() > bound + max(2.0, gap * bound):
+    values: list[float] = []
+    while (value := float(used[[not isinstance(c, int) for c in basis]].sum())) > bound + max(2.0, gap * bound):
+        values.append(value)
+        if len(values) > STALL and values[-STALL - 1] - value < max(2.0, gap * bound):
+            break
         pull = PULLS[turn % len(PULLS)]
         turn += 1
         # no price is above that of a sequence shared by copies of its length alone
