@@ -5,11 +5,13 @@ CellType is a column, with ``Bulk`` beside the cell types: one plan for all samp
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alleles import direction, legacy_text, ratio, refined_marker, snv_haplotype
-from ..functions.intervals import exonic_distance, judge_event
+from ..functions.intervals import judge_event
 from ..functions.tests_of_fit import chi2_2x2, chi2_sf
 
 BULK = "Bulk"
@@ -164,11 +166,24 @@ def observed_events(reads: DataFrame, blocks: DataFrame, events: DataFrame, gene
 
 
 def link_snvs(sites: DataFrame, events: DataFrame, exons: DataFrame, distance: int = 50) -> DataFrame:
-    """Sites near events in spliced coordinates (J8, P16), nearest first and counted."""
-    own = exons.groupBy("geneID").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("exons"))
-    pairs = events.join(sites.select("geneID", "chrom", "pos", "ref", "alt"), ["geneID", "chrom"]).join(own, "geneID")
-    near = pairs.withColumn("exonic_distance", exonic_distance(F.col("pos"), F.col("s"), F.col("e"), F.col("exons"))).where(F.col("exonic_distance") <= distance).drop("exons")
-    genomic = F.when((F.col("pos") >= F.col("s")) & (F.col("pos") <= F.col("e")), 0).otherwise(F.least(F.abs(F.col("pos") - F.col("s")), F.abs(F.col("pos") - F.col("e"))))
+    """Sites near events in spliced coordinates (J8, P16), nearest first and counted.
+
+    Each distinct position is spliced once; events then meet the sites in the spliced bins, ``distance``
+    wide, that they and their surroundings cover, so that hardly a pair is made that isn't kept.
+    """
+    own = exons.select("geneID", "s", "e").distinct()
+    width = max(distance, 1)
+    places = reduce(DataFrame.unionByName, [d.select("geneID", F.col(c).alias("_p")) for d, c in ((events, "s"), (events, "e"), (sites, "pos"))])
+    spliced = covered_before(places, own, ["geneID"]).join(own.select("geneID").distinct(), "geneID", "left_semi")
+    at = {c: spliced.select("geneID", F.col("_p").alias(c), F.col("_f").alias(f"_at_{c}")) for c in ("s", "e", "pos")}
+    low, high = (F.floor((f("_at_s", "_at_e") + x) / width) for f, x in ((F.least, -distance), (F.greatest, distance)))
+    binned = events.join(at["s"], ["geneID", "s"]).join(at["e"], ["geneID", "e"]).withColumn("_bin", F.explode(F.sequence(low, high)))
+    found = sites.select("geneID", "chrom", "pos", "ref", "alt").join(at["pos"], ["geneID", "pos"]).withColumn("_bin", F.floor(F.col("_at_pos") / width))
+    inside = F.col("pos").between(F.col("s"), F.col("e"))
+    apart = F.least(*[F.abs(F.col("_at_pos") - F.col(f"_at_{c}")) for c in ("s", "e")])
+    pairs = binned.join(found, ["geneID", "chrom", "_bin"]).withColumn("exonic_distance", F.when(inside, F.lit(0).cast("bigint")).otherwise(apart))
+    near = pairs.where(F.col("exonic_distance") <= distance).drop("_bin", "_at_s", "_at_e", "_at_pos")
+    genomic = F.when(inside, 0).otherwise(F.least(F.abs(F.col("pos") - F.col("s")), F.abs(F.col("pos") - F.col("e"))))
     event = Window.partitionBy("geneID", "chrom", "event_type", "s", "e")
     ranked = near.withColumn("genomic_distance", genomic).withColumn("linked_snv_count", F.count("pos").over(event))
     return ranked.withColumn("is_nearest", F.row_number().over(event.orderBy("exonic_distance", "genomic_distance", "pos")) == 1)
@@ -224,22 +239,28 @@ def merged_intervals(df: DataFrame, by: list[str], gap: int = 0) -> DataFrame:
     return island.groupBy(*by, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
 
 
-def overlap_sums(df: DataFrame, others: DataFrame, by: list[str], width: int = 65_536) -> DataFrame:
-    """df (by, s, e) with ``bp``, the bases it shares with all intervals of others in its group.
+def covered_before(places: DataFrame, intervals: DataFrame, by: list[str], width: int = 65_536) -> DataFrame:
+    """Each distinct place (by, _p) with ``_f``, the bases of the group's intervals (s, e) before it.
 
-    The bases of others before a position are running sums over end points, taken within ranges of
-    ``width`` positions and carried over one narrow row per range; no pairs are made.
+    Running sums over end points, taken within ranges of ``width`` positions and carried over one
+    narrow row per range; no pairs are made. Overlapping intervals count each.
     """
     point = lambda d, c, sign: d.select(*by, F.col(c).cast("bigint").alias("_p"), F.lit(sign).alias("_n"))
-    clean = others.where("e > s")
-    ends = point(clean, "s", 1).unionByName(point(clean, "e", -1)).unionByName(point(df, "s", 0)).unionByName(point(df, "e", 0))
+    clean = intervals.where("e > s")
+    ends = point(clean, "s", 1).unionByName(point(clean, "e", -1)).unionByName(point(places, "_p", 0))
     points = ends.groupBy(*by, "_p").agg(F.sum("_n").alias("_n")).withColumn("_range", F.floor(F.col("_p") / width)).withColumn("_m", F.col("_n") * F.col("_p"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = points.groupBy(*by, "_range").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m"))
     carried = ranges.select(*by, "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_n", "_m")])
     inside = Window.partitionBy(*by, "_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     run = points.withColumns({c: F.sum(c).over(inside) for c in ("_n", "_m")}).join(carried, [*by, "_range"])
-    covered = run.select(*by, "_p", (F.col("_p") * (F.col("_n") + F.col("_n0")) - F.col("_m") - F.col("_m0")).alias("_f"))
+    return run.select(*by, "_p", (F.col("_p") * (F.col("_n") + F.col("_n0")) - F.col("_m") - F.col("_m0")).alias("_f"))
+
+
+def overlap_sums(df: DataFrame, others: DataFrame, by: list[str], width: int = 65_536) -> DataFrame:
+    """df (by, s, e) with ``bp``, the bases it shares with all intervals of others in its group."""
+    places = df.select(*by, F.col("s").alias("_p")).unionByName(df.select(*by, F.col("e").alias("_p")))
+    covered = covered_before(places, others, by, width)
     low, high = (covered.withColumnsRenamed({"_p": c, "_f": f"_f_{c}"}) for c in ("s", "e"))
     typed = df.withColumns({c: F.col(c).cast("bigint") for c in ("s", "e")})
     return typed.join(low, [*by, "s"]).join(high, [*by, "e"]).withColumn("bp", F.greatest(F.lit(0), F.col("_f_e") - F.col("_f_s"))).drop("_f_s", "_f_e")
