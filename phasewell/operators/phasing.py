@@ -130,12 +130,25 @@ def _two_means(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first_phase(alt: np.ndarray, seen: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def _together(read: np.ndarray, site: np.ndarray, n: int, m: int, at_once: int = 2048) -> np.ndarray:
+    """How many reads show the alternative allele at both sites; blocks of reads are dense at a time."""
+    out = np.zeros((m, m))
+    order = np.argsort(read, kind="stable")
+    read, site = read[order], site[order]
+    cuts = np.searchsorted(read, np.arange(0, n + at_once, at_once))
+    for k in range(len(cuts) - 1):
+        block = np.zeros((at_once, m), np.float32)
+        part = slice(cuts[k], cuts[k + 1])
+        block[read[part] - k * at_once, site[part]] = 1
+        out += block.T @ block
+    return out
+
+
+def _first_phase(together: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Two groups of sites from the leading split of their co-occurrence (M2): spectral clustering."""
-    m = alt.shape[1]
+    m = len(together)
     if m == 1:
         return np.ones(1)
-    together = alt.T @ alt
     np.fill_diagonal(together, 0.0)
     degree = together.sum(1)
     scale = 1 / np.sqrt(np.where(degree > 0, degree, 1.0))
@@ -156,46 +169,54 @@ class Phased:
     rounds: int
 
 
-def phase(code: np.ndarray, error: np.ndarray, score: np.ndarray, *, max_iter: int = 50, tol: float = 1e-3, seed: int = 42, fixed_alpha: float | None = None, frozen: tuple[np.ndarray, np.ndarray] | None = None, filter_sites: bool = True, scored: bool = False) -> Phased:
-    """EM on one gene (M4-M7, M9): code is reads x sites, -1 for missing.
+def phase(code: np.ndarray, error: np.ndarray, score: np.ndarray, **options) -> Phased:
+    """``phase_observed`` on a matrix: code is reads x sites, -1 for missing."""
+    read, site = np.nonzero(code >= 0)
+    return phase_observed(read, site, code[read, site], error[read, site], len(code), score, **options)
+
+
+def phase_observed(read: np.ndarray, site: np.ndarray, code: np.ndarray, error: np.ndarray, n: int, score: np.ndarray, *, max_iter: int = 50, tol: float = 1e-3, seed: int = 42, fixed_alpha: float | None = None, frozen: tuple[np.ndarray, np.ndarray] | None = None, filter_sites: bool = True, scored: bool = False) -> Phased:
+    """EM on one gene (M4-M7, M9): one entry per observation, so memory follows the observations.
 
     The site update minimises a convex function on [0, 1]; one bisection on its derivative does
     all sites at once. ``scored`` says that the scores come from a scoring step that has pruned
     sites before (F15). Rounds end when parameters or the observed log-likelihood stand still.
     """
-    n, m = code.shape
-    seen = code >= 0
+    m = len(score)
+    keep = (gap_mask if scored else keep_mask)(score) if filter_sites and m > 5 and frozen is None else np.ones(m, bool)
+    if frozen is not None:
+        keep = frozen[1] > 0
+    use = keep[site]
+    read, site, code, error = read[use], site[use], code[use], error[use]
     ref, alt = code == 0, code == 1
     noise = np.where(ref, 1 - error, np.where(alt, error / 3, 2 * error / 3))
-    keep = (gap_mask if scored else keep_mask)(score) if filter_sites and m > 5 and frozen is None else np.ones(m, bool)
     if frozen is not None:
         h, marker = frozen[0].copy(), frozen[1].copy()
-        keep = marker > 0
     else:
         h = np.full(m, 0.5)
-        h[keep] = _first_phase((alt & seen)[:, keep].astype(float), seen[:, keep], np.random.default_rng(seed))
+        place = np.cumsum(keep) - 1
+        h[keep] = _first_phase(_together(read[alt], place[site[alt]], n, int(keep.sum())), np.random.default_rng(seed))
         marker = np.where(keep, np.clip(score, 1e-6, 1 - 1e-6), 0.0)
-    phasable = (seen & keep[None, :]).any(1)
+    phasable = np.bincount(read, minlength=n) > 0
     alpha = 0.5 if fixed_alpha is None else fixed_alpha
     hat = np.full(n, 0.5)
     if not phasable.any():
         return Phased(float("nan"), h, marker, hat, phasable, float("nan"), 0)
     before = np.inf
-    use = seen & keep[None, :] & phasable[:, None]
-
-    def sides(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, up = error / 3, 1 - error
-        one = np.where(ref, h * low + (1 - h) * up, np.where(alt, h * up + (1 - h) * low, 2 * error / 3))
-        two = np.where(ref, (1 - h) * low + h * up, np.where(alt, (1 - h) * up + h * low, 2 * error / 3))
-        return one, two
+    low, up, other = error / 3, 1 - error, 2 * error / 3
+    per_read = lambda x: np.bincount(read, x, n)
+    per_site = lambda x: np.bincount(site, x, m)
 
     rounds = 0
     for rounds in range(1, max_iter + 1):
-        e1, e0 = sides(h)
-        p1 = np.maximum(FLOOR, marker * 0.5 * e1 + (1 - marker) * noise)
-        p0 = np.maximum(FLOOR, marker * 0.5 * e0 + (1 - marker) * noise)
-        l1 = np.where(use, np.log(p1), 0).sum(1) + np.log(max(alpha, FLOOR))
-        l0 = np.where(use, np.log(p0), 0).sum(1) + np.log(max(1 - alpha, FLOOR))
+        at, sure = h[site], marker[site]
+        own = np.where(alt, at, 1 - at)  # the share of haplotype A that shows the allele seen
+        e1 = np.where(ref | alt, own * up + (1 - own) * low, other)
+        e0 = np.where(ref | alt, (1 - own) * up + own * low, other)
+        p1 = np.maximum(FLOOR, sure * 0.5 * e1 + (1 - sure) * noise)
+        p0 = np.maximum(FLOOR, sure * 0.5 * e0 + (1 - sure) * noise)
+        l1 = per_read(np.log(p1)) + np.log(max(alpha, FLOOR))
+        l0 = per_read(np.log(p0)) + np.log(max(1 - alpha, FLOOR))
         hat = np.where(phasable, 1 / (1 + np.exp(np.clip(l0 - l1, -700, 700))), 0.5)
         top = np.maximum(l1, l0)
         loglik = float((top + np.log(np.exp(l1 - top) + np.exp(l0 - top)))[phasable].sum())
@@ -203,10 +224,12 @@ def phase(code: np.ndarray, error: np.ndarray, score: np.ndarray, *, max_iter: i
         if fixed_alpha is None:
             alpha = float(hat[phasable].mean())
         if frozen is None:
-            mixed = np.maximum(FLOOR, hat[:, None] * e1 + (1 - hat[:, None]) * e0)
-            odds = np.where(use, np.log(0.5 * mixed) - np.log(np.maximum(FLOOR, noise)), 0).sum(0) + np.log(np.clip(marker, 1e-6, 1 - 1e-6)) - np.log(1 - np.clip(marker, 1e-6, 1 - 1e-6))
+            mixed = np.maximum(FLOOR, hat[read] * e1 + (1 - hat[read]) * e0)
+            prior = np.clip(marker, 1e-6, 1 - 1e-6)
+            odds = per_site(np.log(0.5 * mixed) - np.log(np.maximum(FLOOR, noise))) + np.log(prior) - np.log(1 - prior)
             marker = np.where(keep, 1 / (1 + np.exp(-np.clip(odds, -700, 700))), 0.0)
-            h = np.where(keep, _best_h(ref, alt, error, hat, use), 0.5)
+            told = ref | alt
+            h = np.where(keep, _best_h(site[told], alt[told], error[told], hat[read[told]], m), 0.5)
         moved = np.abs(np.concatenate([[alpha], h, marker]) - old).max()
         if moved < tol or abs(before - loglik) < tol:
             break
@@ -215,17 +238,17 @@ def phase(code: np.ndarray, error: np.ndarray, score: np.ndarray, *, max_iter: i
     return Phased(alpha, h, marker, hat, phasable, loglik, rounds)
 
 
-def _best_h(ref: np.ndarray, alt: np.ndarray, error: np.ndarray, hat: np.ndarray, use: np.ndarray) -> np.ndarray:
+def _best_h(site: np.ndarray, alt: np.ndarray, error: np.ndarray, hat: np.ndarray, m: int) -> np.ndarray:
     """Zero of the derivative of the expected log-likelihood in h, by bisection, all sites at once."""
-    slope = (1 - 4 * error / 3) * np.where(alt, 1.0, np.where(ref, -1.0, 0.0))
+    slope = (1 - 4 * error / 3) * np.where(alt, 1.0, -1.0)
     base1 = np.where(alt, error / 3, 1 - error)
     base0 = np.where(alt, 1 - error, error / 3)
-    lo, hi = np.zeros(ref.shape[1]), np.ones(ref.shape[1])
-    told = use & (ref | alt)
+    up1, up0 = hat * slope, (1 - hat) * slope
+    lo, hi = np.zeros(m), np.ones(m)
     for _ in range(40):
         mid = (lo + hi) / 2
-        d = hat[:, None] * slope / np.maximum(FLOOR, base1 + slope * mid) - (1 - hat[:, None]) * slope / np.maximum(FLOOR, base0 - slope * mid)
-        up = np.where(told, d, 0).sum(0) > 0
+        step = slope * mid[site]
+        up = np.bincount(site, up1 / np.maximum(FLOOR, base1 + step) - up0 / np.maximum(FLOOR, base0 - step), m) > 0
         lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
     return (lo + hi) / 2
 
@@ -243,12 +266,15 @@ def phase_genes(codes: DataFrame, gene: list[str], max_iter: int = 50, tol: floa
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = {c: pdf[c].iloc[0] for c in gene}
         try:
-            reads, sites = np.sort(pdf["Read"].astype(str).unique()), np.sort(pdf["snv_id"].astype(str).unique())
-            i, j = np.searchsorted(reads, pdf["Read"].astype(str)), np.searchsorted(sites, pdf["snv_id"].astype(str))
-            code, error, score = np.full((len(reads), len(sites)), -1, np.int8), np.ones((len(reads), len(sites))), np.zeros(len(sites))
-            code[i, j], error[i, j], score[j] = pdf["r"], pdf["pi"], pdf["score"]
-            full = phase(code, error, score, max_iter=max_iter, tol=tol, seed=seed)
-            null = phase(code, error, score, max_iter=max_iter, tol=tol, seed=seed, fixed_alpha=0.5)
+            rows = pdf.sort_values(["r", "pi"]).drop_duplicates(["Read", "snv_id"], keep="last")
+            reads, i = np.unique(rows["Read"].astype(str), return_inverse=True)
+            sites, j = np.unique(rows["snv_id"].astype(str), return_inverse=True)
+            score = np.zeros(len(sites))
+            score[j] = rows["score"]
+            seen = (rows["r"] >= 0).to_numpy()
+            observed = (i[seen], j[seen], rows["r"].to_numpy()[seen], rows["pi"].to_numpy(float)[seen], len(reads), score)
+            full = phase_observed(*observed, max_iter=max_iter, tol=tol, seed=seed)
+            null = phase_observed(*observed, max_iter=max_iter, tol=tol, seed=seed, fixed_alpha=0.5)
         except Exception as e:
             raise RuntimeError(f"phasing of {own} failed: {e!r}") from e
         common = {**own, "alpha": min(full.alpha, 1 - full.alpha), "ll_alt": full.loglik, "ll_null": null.loglik}

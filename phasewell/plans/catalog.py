@@ -404,11 +404,10 @@ def raw_allele_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def em_phase_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1-M7, M9, M10, F14, F16 (C5): haplotypes by EM; genes are brand and type here."""
-    p = parts(spark, sf_dir).select("pos", F.concat_ws("/", "geneID", "Isoform").alias("gene"))
-    c = codes(spark, sf_dir).join(p, "pos").select("gene", F.col("Read").cast("string").alias("Read"), F.col("pos").cast("string").alias("snv_id"), "r", "pi")
+    """Haplotypes by EM."""
+    c = codes(spark, sf_dir).select(F.col("geneID").alias("gene"), F.col("Read").cast("string").alias("Read"), F.col("pos").cast("string").alias("snv_id"), "r", "pi")
     score = c.groupBy("gene", "snv_id").agg((F.count_if(F.col("r") == 1) / F.count(F.lit(1))).alias("score"))
-    return phasing.phase_genes(c.join(score, ["gene", "snv_id"]), ["gene"], max_iter=10)[1]
+    return phasing.phase_genes(c.join(score, ["gene", "snv_id"]), ["gene"])[1]
 
 
 @query("""SELECT event_id, regexp_replace('m/' || user_id || '/ccs_' || event_id, '(/ccs)_[0-9]+$', '\\1') AS read_name, regexp_extract(props, '"([a-z_]+)"', 1) AS attribute FROM events""")

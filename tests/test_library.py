@@ -133,6 +133,73 @@ def test_phasing_recovers_haplotypes(seed):
     assert out.loglik >= null.loglik - 1e-3
 
 
+def plain_em(code, error, score, rounds):
+    """The EM in plain loops over reads and sites, h from a fine grid; starts as the kernel does."""
+    n, m = code.shape
+    h = phasing._first_phase(((code == 1).T @ (code == 1).astype(float)), np.random.default_rng(42))
+    marker, alpha, hat = np.array(score, float), 0.5, np.zeros(n)
+    grid = np.linspace(0, 1, 20_001)
+
+    def seen(i, j, share):
+        e = error[i, j]
+        return {0: share * e / 3 + (1 - share) * (1 - e), 1: share * (1 - e) + (1 - share) * e / 3, 2: 2 * e / 3 + 0 * share}[code[i, j]]
+
+    def noise(i, j):
+        return {0: 1 - error[i, j], 1: error[i, j] / 3, 2: 2 * error[i, j] / 3}[code[i, j]]
+
+    for _ in range(rounds):
+        for i in range(n):
+            a, b = alpha, 1 - alpha
+            for j in range(m):
+                if code[i, j] >= 0:
+                    a *= marker[j] * 0.5 * seen(i, j, h[j]) + (1 - marker[j]) * noise(i, j)
+                    b *= marker[j] * 0.5 * seen(i, j, 1 - h[j]) + (1 - marker[j]) * noise(i, j)
+            hat[i] = a / (a + b)
+        alpha, old_h = hat.mean(), h.copy()
+        for j in range(m):
+            own = [i for i in range(n) if code[i, j] >= 0]
+            odds = np.log(marker[j] / (1 - marker[j]))
+            odds += sum(np.log(0.5 * (hat[i] * seen(i, j, old_h[j]) + (1 - hat[i]) * seen(i, j, 1 - old_h[j])) / noise(i, j)) for i in own)
+            marker[j] = 1 / (1 + np.exp(-odds))
+            h[j] = grid[sum(hat[i] * np.log(seen(i, j, grid)) + (1 - hat[i]) * np.log(seen(i, j, 1 - grid)) for i in own).argmax()]
+    return alpha, h, marker, hat
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_kernel_equals_plain_loops(seed):
+    code, error, *_ = simulated(seed, 40, 4)
+    code[:, :2][np.random.default_rng(seed).random((40, 2)) < 0.1] = 2
+    error = np.where(code < 0, 1.0, np.minimum(error, 0.05))
+    out = phasing.phase(code, error, np.full(4, 0.6), max_iter=3, tol=0)
+    assert out.rounds == 3 and out.phasable.all()
+    alpha, h, marker, hat = plain_em(code, error, np.full(4, 0.6), 3)
+    assert abs(alpha - out.alpha) < 1e-3
+    for got, want in ((out.h, h), (out.marker, marker), (out.hat, hat)):
+        assert np.abs(got - want).max() < 1e-3
+
+
+@pytest.mark.parametrize("distance", [0, 7, 50])
+def test_link_equals_all_pairs(spark, distance):
+    """Against every site and event of a gene; a gene without exons links nothing."""
+    r = np.random.default_rng(distance)
+    genes = ["g", "h", "none"]
+    exons = sorted({(g, int(s), int(s) + int(r.integers(1, 90))) for g in genes[:2] for s in r.integers(0, 1500, 8)})
+    events = sorted({(g, "c", "exon", int(s), int(s) + int(r.integers(0, 300))) for g in genes for s in r.integers(0, 1500, 12)})
+    sites = sorted({(g, "c", int(p), "A", "G") for g in genes for p in r.integers(0, 1700, 25)})
+    before = lambda g, p: sum(max(0, min(p - s, e - s)) for x, s, e in exons if x == g)
+    want = set()
+    for g, _, _, s, e in events:
+        for x, _, p, _, _ in sites:
+            if g == x != "none":
+                d = 0 if s <= p <= e else min(abs(before(g, p) - before(g, s)), abs(before(g, p) - before(g, e)))
+                want |= {(g, s, e, p, d)} if d <= distance else set()
+    frame = spark.createDataFrame
+    out = downstream.link_snvs(frame(sites, "geneID string, chrom string, pos bigint, ref string, alt string"), frame(events, "geneID string, chrom string, event_type string, s bigint, e bigint"), frame(exons, "geneID string, s bigint, e bigint"), distance).collect()
+    got = [(x["geneID"], x["s"], x["e"], x["pos"], x["exonic_distance"]) for x in out]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(x["is_nearest"] for x in out) == len({x[:3] for x in want})
+
+
 def test_native_estep_equals_kernel(spark):
     code, error, *_ = simulated(9, 40, 4)
     h, marker = np.array([0.9, 0.1, 0.8, 0.3]), np.array([0.9, 0.8, 0.7, 0.95])
@@ -185,7 +252,7 @@ def test_first_phase_finds_uneven_groups():
     r = np.random.default_rng(5)
     hap, side = r.random(200) < 0.5, np.arange(12) < 9
     alt = ((hap[:, None] == side[None, :]) & (r.random((200, 12)) < 0.95)).astype(float)
-    start = phasing._first_phase(alt, np.ones_like(alt, bool), r)
+    start = phasing._first_phase(phasing._together(*np.nonzero(alt), *alt.shape), r)
     told = np.abs(start - 0.5) > 0.1
     assert told.sum() >= 6 and len({(bool(x), bool(s)) for x, s in zip(start[told] > 0.5, side[told], strict=True)}) <= 2
 
