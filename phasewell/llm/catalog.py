@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard_join, licenses, line_dedup, packing, quality_rules, secrets, substring_dedup, toxicity
+from . import bpe, fill_middle, fingerprints, jaccard_join, licenses, line_dedup, packing, periodic_runs, quality_rules, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": bpe.op8_bpe,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +29,6 @@ ORACLES: dict[str, str] = {
     "op3_fingerprints": fingerprints.ORACLE_SQL,
     "op4_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_licenses": licenses.ORACLE_SQL,
+    "op11_periodic_runs": periodic_runs.ORACLE_SQL,
+    "op13_fill_middle": fill_middle.ORACLE_SQL,
 }
