@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fill_middle, fingerprints, jaccard_join, licenses, line_dedup, packing, periodic_runs, quality_rules, secrets, substring_dedup, toxicity
+from . import bpe, fill_middle, fingerprints, jaccard_join, licenses, line_dedup, packing, periodic_runs, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
@@ -30,5 +31,6 @@ ORACLES: dict[str, str] = {
     "op4_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_licenses": licenses.ORACLE_SQL,
     "op11_periodic_runs": periodic_runs.ORACLE_SQL,
+    "op12_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op13_fill_middle": fill_middle.ORACLE_SQL,
 }
