@@ -281,6 +281,18 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return spark.table(name)
 
 
+def joined(spans: Column) -> Column:
+    """Spans (first, number) in order, with those that follow each other as one; a context has few."""
+    none = F.array().cast("array<struct<first:bigint,number:bigint>>")
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["first"].alias("first"), (last["number"] + x["number"]).alias("number"))
+        return F.when(last["first"] + last["number"] == x["first"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(spans, none, step)
+
+
 def repeated_places(texts: DataFrame) -> DataFrame:
     """(key, size, start, windows): windows of texts without copies that occur elsewhere as well."""
     rows = checkpoint(texts.where(F.col("size") >= WIDTH).select(*TEXT, "copies", "text").mapInArrow(context_rows, "anchor bigint, context bigint, key bigint, size bigint, copies bigint, start bigint, windows bigint"))
@@ -301,7 +313,7 @@ def repeated_places(texts: DataFrame) -> DataFrame:
     window = ["anchor", "high", "low"]
     often = checkpoint(each.groupBy(*window).agg(F.sum("copies").alias("n")).where("n > 1").drop("n"))
     hot = each.join(often, window).select(*CONTEXT, "first", F.lit(1).cast("bigint").alias("number"))
-    spans = checkpoint(twice.unionByName(hot).groupBy(*CONTEXT).agg(F.collect_list(F.struct("first", "number")).alias("spans")))
+    spans = checkpoint(twice.unionByName(hot).groupBy(*CONTEXT).agg(joined(F.array_sort(F.collect_list(F.struct("first", "number")))).alias("spans")))
     alone = found.where("copies = 1")
     parts = alone.where("kind <> 'same'").join(spans, CONTEXT).select(*TEXT, "start", F.explode("spans").alias("s"))
     return alone.where("kind = 'same'").select(*TEXT, "start", "windows").unionByName(parts.select(*TEXT, (F.col("start") + F.col("s.first")).alias("start"), F.col("s.number").alias("windows")))
@@ -339,10 +351,10 @@ def judged_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the kept bytes as text; a character that is cut through becomes U+FFFD. Null stays null."""
-    key, size = text_key(text)
-    judged = judged_texts(docs, text).select(F.col("key").alias("_x_key"), F.col("size").alias("_x_size"), F.decode("kept", "UTF-8").alias("_x_kept"))
-    new = F.when(F.col(text).isNotNull(), F.col("_x_kept"))
-    return docs.withColumns({"_x_key": key, "_x_size": size}).join(judged, ["_x_key", "_x_size"]).withColumn(text, new).select(*docs.columns)
+    key, size, kept = (f"_{c}_{uuid.uuid4().hex}" for c in ("key", "size", "kept"))
+    judged = judged_texts(docs, text).select(F.col("key").alias(key), F.col("size").alias(size), F.decode("kept", "UTF-8").alias(kept))
+    own = docs.withColumns(dict(zip((key, size), text_key(text), strict=True)))
+    return own.join(judged, [key, size]).withColumn(text, F.when(F.col(text).isNotNull(), F.col(kept))).select(*docs.columns)
 
 
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
