@@ -306,14 +306,15 @@ def find_runs(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFr
 
 def with_tails(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """docs in which one id of ten has the end of its text replaced by repetitions of a part of it."""
-    words = F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
     h = F.crc32(F.col(id_column).cast("string"))
-    n, g = F.size("_r_words"), F.floor(h / 10).cast("bigint")
+    words = F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    both = docs.withColumn(text, F.struct(F.col(text).alias("t"), F.when(h % 10 == 0, words).alias("w")))
+    t, w = F.col(f"`{text}`.t"), F.col(f"`{text}`.w")
+    n, g = F.size(w), F.floor(h / 10).cast("bigint")
     a = g % F.nullif(n, F.lit(0))
     p = 1 + F.floor((n - a) / (3 + g % 8)).cast("bigint")
-    tail = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.col("_r_words")[F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")])
-    edited = docs.withColumn("_r_words", F.when(h % 10 == 0, words)).withColumn(text, F.when(n > 0, F.array_join(tail, " ")).otherwise(F.col(text)))
-    return edited.drop("_r_words")
+    tail = F.transform(F.sequence(F.lit(0), n - 1), lambda i: w[F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")])
+    return both.withColumn(text, F.when(n > 0, F.array_join(tail, " ")).otherwise(t))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
