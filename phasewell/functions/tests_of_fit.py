@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,35 +15,31 @@ def chi2_2x2(a: Column, b: Column, c: Column, d: Column) -> Column:
     return (a + b + c + d) * F.pow(a * d - b * c, F.lit(2.0)) / F.nullif(margins, F.lit(0.0))
 
 
-def _tail(x: float, df: float) -> float | None:
-    """Upper tail of chi-square with integer df: finite sums for even and odd df."""
-    if x is None or df is None or x != x or df != df or df < 1:
-        return None
-    df = int(df)
-    if x <= 0:
-        return 1.0
-    if df % 2 == 0:
-        term = total = 1.0
-        for i in range(1, df // 2):
-            term *= x / 2 / i
-            total += term
-        return min(1.0, math.exp(-x / 2) * total)
-    out = math.erfc(math.sqrt(x / 2))
-    term = math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
-    for i in range((df - 1) // 2):
-        out += term
-        term *= x / (2 * i + 3)
-    return min(1.0, out)
+def erfc(z: Column, terms: int = 80) -> Column:
+    """Complementary error function of z >= 0: the power series below 2.5, the continued fraction above."""
+    down = F.sequence(F.lit(terms), F.lit(1))
+    square = z * z
+    series = z * F.aggregate(down, F.lit(1.0), lambda t, i: 1 + 2 * square / (2 * i + 1) * t)
+    fraction = F.aggregate(down, z, lambda t, i: z + i / 2 / t)
+    root = math.sqrt(math.pi)
+    return F.when(z < 2.5, 1 - 2 / root * F.exp(-square) * series).otherwise(F.exp(-square) / root / fraction)
 
 
-def chi2_sf(x: Column, df: Column | int) -> Column:
-    """P-value of a chi-square statistic. Spark has no erfc, so this is the one batch UDF here."""
-    df = F.lit(df) if isinstance(df, int) else df
+def chi2_sf_one(x: Column) -> Column:
+    """P-value of a chi-square statistic with one degree of freedom; 1 below 0."""
+    return F.when(x <= 0, 1.0).when(F.isnan(x), F.lit(None)).otherwise(erfc(F.sqrt(x.cast("double") / 2)))
 
-    def tails(x: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([_tail(a, b) for a, b in zip(x, df, strict=True)], dtype="float64")
 
-    return F.nanvl(F.pandas_udf(tails, "double")(x.cast("double"), df.cast("double")), F.lit(None).cast("double"))
+def chi2_sf(x: Column, df: Column | int) -> Column:
+    """P-value of a chi-square statistic with integer df: finite sums, for odd df beside erfc."""
+    x, df = x.cast("double"), F.lit(df) if isinstance(df, int) else df
+    state = F.struct((F.sqrt(2 * x / math.pi) * F.exp(-x / 2)).alias("t"), F.lit(0.0).alias("s"))
+    step = lambda s, i: F.struct((s["t"] * x / (2 * i + 3)).alias("t"), (s["s"] + s["t"]).alias("s"))
+    more = F.when(df >= 3, F.sequence(F.lit(0), ((df - 3) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    odd = chi2_sf_one(x) + F.aggregate(more, state, step, lambda s: s["s"])
+    value = F.when(df % 2 == 0, chi2_sf_even(x, df)).otherwise(odd)
+    known = x.isNotNull() & ~F.isnan(x) & (df >= 1)
+    return F.when(known, F.when(x <= 0, 1.0).otherwise(F.least(F.lit(1.0), value)))
 
 
 def chi2_sf_even(x: Column, df: Column) -> Column:

@@ -118,6 +118,13 @@ def gap_mask(scores: np.ndarray, tau: float = 0.1, min_keep: int = 4) -> np.ndar
     return np.ones(len(scores), bool) if gap is None else _within(scores, gap, min_keep, None)
 
 
+def steering(scores: np.ndarray, scored: bool = False) -> np.ndarray:
+    """Sites that a gene's phase is fitted on: all up to five, else by ``gap_mask`` if ``scored``, or ``keep_mask``."""
+    if len(scores) <= 5:
+        return np.ones(len(scores), bool)
+    return gap_mask(scores) if scored else keep_mask(scores)
+
+
 def _two_means(x: np.ndarray) -> np.ndarray:
     """The split of numbers into two groups with the least sum of squares, found among all sorted cuts."""
     order = np.argsort(x, kind="stable")
@@ -180,10 +187,11 @@ def phase_observed(read: np.ndarray, site: np.ndarray, code: np.ndarray, error:
 
     The site update minimises a convex function on [0, 1]; one bisection on its derivative does
     all sites at once. ``scored`` says that the scores come from a scoring step that has pruned
-    sites before (F15). Rounds end when parameters or the observed log-likelihood stand still.
+    sites before (F15). Rounds end when parameters or the expected log-likelihood stand still (M5);
+    the observed one is that of the last parameters.
     """
     m = len(score)
-    keep = (gap_mask if scored else keep_mask)(score) if filter_sites and m > 5 and frozen is None else np.ones(m, bool)
+    keep = steering(score, scored) if filter_sites and frozen is None else np.ones(m, bool)
     if frozen is not None:
         keep = frozen[1] > 0
     use = keep[site]
@@ -218,8 +226,6 @@ def phase_observed(read: np.ndarray, site: np.ndarray, code: np.ndarray, error:
         l1 = per_read(np.log(p1)) + np.log(max(alpha, FLOOR))
         l0 = per_read(np.log(p0)) + np.log(max(1 - alpha, FLOOR))
         hat = np.where(phasable, 1 / (1 + np.exp(np.clip(l0 - l1, -700, 700))), 0.5)
-        top = np.maximum(l1, l0)
-        loglik = float((top + np.log(np.exp(l1 - top) + np.exp(l0 - top)))[phasable].sum())
         old = np.concatenate([[alpha], h, marker])
         if fixed_alpha is None:
             alpha = float(hat[phasable].mean())
@@ -228,27 +234,32 @@ def phase_observed(read: np.ndarray, site: np.ndarray, code: np.ndarray, error:
             prior = np.clip(marker, 1e-6, 1 - 1e-6)
             odds = per_site(np.log(0.5 * mixed) - np.log(np.maximum(FLOOR, noise))) + np.log(prior) - np.log(1 - prior)
             marker = np.where(keep, 1 / (1 + np.exp(-np.clip(odds, -700, 700))), 0.0)
-            told = ref | alt
-            h = np.where(keep, _best_h(site[told], alt[told], error[told], hat[read[told]], m), 0.5)
+        share = hat[read]
+        base1, base0 = np.where(alt, low, np.where(ref, up, other)), np.where(alt, up, np.where(ref, low, other))
+        slope = np.where(ref | alt, (1 - 4 * error / 3) * np.where(alt, 1.0, -1.0), 0.0)
+        fixed, rising = share * base1 + (1 - share) * base0, slope * (2 * share - 1)
+        sure = marker[site] if frozen is None else (marker[site] > 0.5).astype(float)
+        if frozen is None:
+            h = np.where(keep, _best_h(site, 0.5 * sure * fixed + (1 - sure) * noise, 0.5 * sure * rising, m), 0.5)
+        expected = -float(np.log(np.maximum(FLOOR, 0.5 * sure * (fixed + rising * h[site]) + (1 - sure) * noise)).sum())
         moved = np.abs(np.concatenate([[alpha], h, marker]) - old).max()
-        if moved < tol or abs(before - loglik) < tol:
+        if moved < tol or abs(before - expected) < tol:
             break
-        before = loglik
+        before = expected
+    at, sure = h[site], marker[site]
+    l1 = per_read(np.log(np.maximum(FLOOR, sure * 0.5 * (base1 + slope * at) + (1 - sure) * noise))) + np.log(max(alpha, FLOOR))
+    l0 = per_read(np.log(np.maximum(FLOOR, sure * 0.5 * (base0 - slope * at) + (1 - sure) * noise))) + np.log(max(1 - alpha, FLOOR))
+    loglik = float(np.logaddexp(l1, l0)[phasable].sum())
     hat = np.where(phasable, hat, hat[phasable].mean())
     return Phased(alpha, h, marker, hat, phasable, loglik, rounds)
 
 
-def _best_h(site: np.ndarray, alt: np.ndarray, error: np.ndarray, hat: np.ndarray, m: int) -> np.ndarray:
-    """Zero of the derivative of the expected log-likelihood in h, by bisection, all sites at once."""
-    slope = (1 - 4 * error / 3) * np.where(alt, 1.0, -1.0)
-    base1 = np.where(alt, error / 3, 1 - error)
-    base0 = np.where(alt, 1 - error, error / 3)
-    up1, up0 = hat * slope, (1 - hat) * slope
+def _best_h(site: np.ndarray, fixed: np.ndarray, rising: np.ndarray, m: int) -> np.ndarray:
+    """Where the sum of log(fixed + rising h) of each site is largest on [0, 1] (M4): the zero of its derivative, by bisection."""
     lo, hi = np.zeros(m), np.ones(m)
     for _ in range(40):
         mid = (lo + hi) / 2
-        step = slope * mid[site]
-        up = np.bincount(site, up1 / np.maximum(FLOOR, base1 + step) - up0 / np.maximum(FLOOR, base0 - step), m) > 0
+        up = np.bincount(site, rising / np.maximum(FLOOR, fixed + rising * mid[site]), m) > 0
         lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
     return (lo + hi) / 2
 
