@@ -49,11 +49,10 @@ def merged_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def explode_bases(alignments: DataFrame) -> DataFrame:
-    """One row per reference position that a read covers.
+def pieces(alignments: DataFrame) -> DataFrame:
+    """One row per CIGAR operation that covers reference positions, with its part of sequence and qualities.
 
-    Deletions give a row without a base. Sequence and qualities are cut by CIGAR operation first,
-    so that each row costs one slice of its own operation.
+    p and q are its first place on the reference and the read, n its length; deletions have no sequence.
     """
     state = F.expr("named_struct('p', pos, 'q', 0L, 'out', cast(array() as array<struct<p:bigint,q:bigint,n:bigint,del:boolean>>))")
 
@@ -64,21 +63,34 @@ def explode_bases(alignments: DataFrame) -> DataFrame:
         piece = F.struct(s["p"].alias("p"), s["q"].alias("q"), n.alias("n"), (op == 2).alias("del"))
         return F.struct((s["p"] + ref).alias("p"), (s["q"] + read).alias("q"), F.when(op.isin(0, 2, 7, 8), F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out"))
 
-    pieces = alignments.withColumn("_piece", F.explode(F.aggregate("cigar", state, step, lambda s: s["out"])))
-    cut = pieces.select(
+    each = alignments.withColumn("_piece", F.explode(F.aggregate("cigar", state, step, lambda s: s["out"])))
+    return each.select(
         "sample", "geneID", "chrom", F.col("qname").alias("Read"), "mapq", F.col("flag").bitwiseAND(F.lit(16)).alias("rev"), F.char_length("seq").alias("read_len"),
         F.col("_piece.p").alias("p"), F.col("_piece.q").alias("q"), F.col("_piece.n").alias("n"), F.col("_piece.del").alias("del"),
         F.when(~F.col("_piece.del"), F.substring("seq", F.col("_piece.q").cast("int") + 1, F.col("_piece.n").cast("int"))).alias("s"),
         F.when(~F.col("_piece.del"), F.slice("qual", F.col("_piece.q").cast("int") + 1, F.col("_piece.n").cast("int"))).alias("b"),
     )
-    at = cut.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    i = F.col("i").cast("int")
-    return at.select(
-        "sample", "geneID", "chrom", (F.col("p") + F.col("i")).alias("pos"), "Read", F.when(~F.col("del"), F.col("q") + F.col("i")).alias("qpos"),
-        F.upper(F.substring("s", i + 1, F.lit(1))).alias("base"), F.get("b", i).alias("baseq"), "mapq", "read_len", (F.col("rev") != 0).cast("int").alias("is_reverse"), F.col("del").alias("is_del"),
+
+
+def bases_at(cut: DataFrame, i: Column, *more: str) -> DataFrame:
+    """The base of a piece at its i-th place."""
+    i = i.cast("int")
+    return cut.select(
+        "sample", "geneID", "chrom", (F.col("p") + i).alias("pos"), "Read", F.when(~F.col("del"), F.col("q") + i).alias("qpos"),
+        F.upper(F.substring("s", i + 1, F.lit(1))).alias("base"), F.get("b", i).alias("baseq"), "mapq", "read_len", (F.col("rev") != 0).cast("int").alias("is_reverse"), F.col("del").alias("is_del"), *more,
     )
 
 
+def explode_bases(alignments: DataFrame) -> DataFrame:
+    """One row per reference position that a read covers.
+
+    Deletions give a row without a base. Sequence and qualities are cut by CIGAR operation first,
+    so that each row costs one slice of its own operation.
+    """
+    at = pieces(alignments).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    return bases_at(at, F.col("i"))
+
+
 def usable(bases: DataFrame, ref: str = "ref", min_baseq: int = 5, min_mapq: int = 20, ends: int = READ_ENDS) -> DataFrame:
     """Base-level filter (F1): quality, mapping, A/C/G/T; mismatches near a read's end go."""
     near_end = F.least(F.col("qpos"), F.col("read_len") - 1 - F.col("qpos")) < ends
