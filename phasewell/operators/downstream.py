@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alleles import direction, legacy_text, ratio, refined_marker, snv_haplotype
-from ..functions.intervals import judge_event
 from ..functions.tests_of_fit import chi2_2x2, chi2_sf
 
 BULK = "Bulk"
@@ -154,17 +153,6 @@ def event_tests(weights: DataFrame, min_reads: float = 10) -> DataFrame:
     return kept.withColumn("chi2", chi).withColumn("event_p_value", chi2_sf(F.col("chi2"), 1))
 
 
-def observed_events(reads: DataFrame, blocks: DataFrame, events: DataFrame, gene: list[str]) -> DataFrame:
-    """Include, skip and unobserved weights of events from alignments.
-
-    A read counts once per event; reads without blocks are unobserved everywhere.
-    """
-    once = reads.groupBy(*gene, "Read").agg(F.min("hat_I").alias("hat_I"), F.min("hat_I_B").alias("hat_I_B")).join(blocks, ["geneID", "Read"], "left")
-    told = once.join(events.select("geneID", "event_type", "s", "e").distinct(), "geneID").withColumn("said", judge_event(F.col("event_type"), F.col("s"), F.col("e"), F.col("blocks"), F.col("introns")))
-    part = lambda w, x: F.sum(F.when(F.col("said") == x, F.col(w)).otherwise(0.0))
-    return told.groupBy(*gene, "event_type", "s", "e").agg(*[part(w, x).alias(f"obs_{h}_{x}") for h, w in (("A", "hat_I"), ("B", "hat_I_B")) for x in ("include", "skip", "unobserved")])
-
-
 def link_snvs(sites: DataFrame, events: DataFrame, exons: DataFrame, distance: int = 50) -> DataFrame:
     """Sites near events in spliced coordinates (J8, P16), nearest first and counted.
 
