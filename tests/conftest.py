@@ -2,6 +2,9 @@ import os
 import sys
 from pathlib import Path
 
+# before numpy is loaded: in a process beside a Spark session, threads of the linear algebra library have come to a stop
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
