@@ -266,10 +266,11 @@ def solve(counts: np.ndarray, size: int, gap: float = GAP) -> tuple[dict[tuple[i
         return inverse, np.maximum(inverse @ need, 0.0), price
 
     inverse, used, price = afresh()
+    singular = False
 
     def enter(column: dict[int, int] | int) -> bool:
         """Take a configuration (or the surplus of a length) into the basis, if that saves sequences."""
-        nonlocal pivots, price, inverse, used
+        nonlocal pivots, price, inverse, used, singular
         if isinstance(column, int):
             saved, way = -price[column], -inverse[:, column]
         else:
@@ -296,7 +297,10 @@ def solve(counts: np.ndarray, size: int, gap: float = GAP) -> tuple[dict[tuple[i
         basis[out] = column
         pivots += 1
         if pivots % 100 == 0:  # against rounding errors
-            inverse, used, price = afresh()
+            try:
+                inverse, used, price = afresh()
+            except np.linalg.LinAlgError:
+                singular = True  # the columns of a program with few pieces can come too close: what is reached so far stands
         return True
 
     values: list[float] = []
@@ -313,10 +317,10 @@ def solve(counts: np.ndarray, size: int, gap: float = GAP) -> tuple[dict[tuple[i
         top, found = columns(prices, size)
         bound = max(bound, float(need @ drawn) / top)
         gains = sorted(((sum(price[at[n]] * c for n, c in x.items()) - 1.0, k) for k, (_, x) in enumerate(found)), reverse=True)
-        entered = sum(enter(found[k][1]) for gain, k in gains[:ENTER] if gain > 1e-9)
+        entered = sum(enter(found[k][1]) for gain, k in gains[:ENTER] if gain > 1e-9 and not singular)
         for i in np.flatnonzero(price < -1e-9).tolist():
-            entered += enter(i)
-        if not entered and pull == 0.0:
+            entered += not singular and enter(i)
+        if singular or not entered and pull == 0.0:
             break  # no column saves anything: optimal
     out: Counter = Counter()
     for c, x in zip(basis, used.tolist(), strict=True):
@@ -352,7 +356,8 @@ def best_fit(counts: np.ndarray, size: int) -> Counter:
 def plan(counts: np.ndarray, size: int = SEQUENCE) -> Counter:
     """Configuration -> number of sequences, for all pieces of the histogram.
 
-    Rounded linear program and best fit of the residue, at every size.
+    Rounded linear program and best fit of the residue, at every size. Where the program ended above its
+    gap, best fit of all pieces is made as well, and the plan with fewer sequences counts.
     """
     counts = counts.astype(np.int64).copy()
     out: Counter = Counter()
@@ -361,7 +366,8 @@ def plan(counts: np.ndarray, size: int = SEQUENCE) -> Counter:
         counts[size] = 0
     left = counts.copy()
     chosen: Counter = Counter()
-    used, _ = solve(counts, size)
+    used, bound = solve(counts, size)
+    ended_early = sum(used.values()) > bound + max(2.0, GAP * bound)
     for config, x in sorted(used.items(), key=lambda kv: (-kv[1], kv[0])):
         times = int(x + 1e-6)
         for length, c in Counter(config).items():
@@ -371,7 +377,8 @@ def plan(counts: np.ndarray, size: int = SEQUENCE) -> Counter:
             for length in config:
                 left[length] -= times
     chosen.update(best_fit(left, size))
-    out.update(chosen)
+    alone = best_fit(counts, size) if ended_early else chosen
+    out.update(min(chosen, alone, key=lambda c: sum(c.values())))
     return out
 
 

@@ -331,6 +331,24 @@ def test_packing_plan_has_no_switch_by_size(pieces, monkeypatch):
     assert sum(plan.values()) <= bound * (1 + packing.GAP) + 5
 
 
+@pytest.mark.parametrize("seed", [8, 12, 18, 19, 20, 22, 30, 31])
+def test_packing_of_geometric_lengths(seed):
+    """Histograms on which the columns of the program come close to each other: a plan all the same, no worse than best fit."""
+    r = np.random.default_rng(seed)
+    p, n = r.choice([0.001, 0.004, 0.02]), r.choice([300, 3000, 20000, 100000])
+    counts = np.bincount(np.minimum(r.geometric(p, n), 1024), minlength=1025)
+    plan = packing.plan(counts)
+    placed = Counter()
+    for config, n in plan.items():
+        assert sum(config) <= 1024
+        for length in config:
+            placed[length] += n
+    assert placed == Counter({k: int(c) for k, c in enumerate(counts) if c})
+    alone = counts.copy()
+    alone[1024] = 0
+    assert sum(plan.values()) <= sum(packing.best_fit(alone, 1024).values()) + counts[1024] + 1
+
+
 def test_packing_bound_comes_from_prices_where_long_pieces_do_not_pair():
     counts = np.zeros(1025, np.int64)
     counts[[600, 700, 300]] = [1000, 1000, 500]
