@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calling, features, pileup
+from ..operators import calling, chain, features, pileup
 from ..sources.shared import written
 from .catalog import het_sql, query, r6
 from .proxies import table
@@ -141,3 +141,34 @@ def scored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites that a pluggable scorer keeps."""
     scored = features.scored_sites(featured(spark, sf_dir), features.Logistic(WEIGHTS, BIAS), ["geneID"])
     return features.hard_filter(scored, 0.5).select("geneID", "chrom", "pos", r6("score").alias("score"))
+
+
+LIMIT = chain.Limits(alt=6, depth=16, het=0.9, per_kilobase=60.0, run=3, alt_stretch=40, cluster=2, cluster_window=37, alt_cluster=22)
+#: Windows of the reference around a position, and whether its letter lies in a run of ``run`` or more.
+SQL_STRETCH = f"list_max(list_transform(range(0, {LIMIT.run}), lambda d: CASE WHEN p - d >= greatest(0, p - {LIMIT.flank}) AND len(list_distinct(list_transform(range(p - d, p - d + {LIMIT.run}), lambda x: (x * 7 + x // 3) % 4))) = 1 THEN 1 ELSE 0 END)) = 1"
+
+
+@query(f"""WITH {SQL_READ_BASES}, v AS (SELECT gene, chrom, p, base, count(*) AS n, avg(power(10.0, -bq / 10)) AS err FROM ob WHERE base <> ref GROUP BY ALL), al AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY gene, chrom, p ORDER BY n DESC, err, base) = 1),
+d1 AS (SELECT * FROM js WHERE alt_count > {LIMIT.alt} AND depth >= {LIMIT.depth}), cd AS (SELECT ob.gene, ob.chrom, ob.p, CASE WHEN ob.base = ob.ref THEN 0 WHEN ob.base = al.base THEN 1 ELSE 2 END AS r, least(.5, greatest(.001, power(10.0, -bq / 10))) AS pi FROM ob JOIN al ON (ob.gene, ob.chrom, ob.p) = (al.gene, al.chrom, al.p)),
+qs AS (SELECT gene, chrom, p, sum(CASE WHEN r = 0 THEN ln(1 - pi) ELSE ln(pi) END) + ln(.6) AS l0, count(*) * ln(.5) + ln(.1) AS l1, sum(CASE WHEN r = 1 THEN ln(1 - pi) ELSE ln(pi) END) + ln(.3) AS l2 FROM cd WHERE r < 2 GROUP BY gene, chrom, p),
+q1 AS (SELECT d1.*, round(exp(l1 - greatest(l0, l1, l2)) / (exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))), 9) AS het FROM d1 JOIN qs ON (d1.gene, d1.chrom, d1.p) = (qs.gene, qs.chrom, qs.p)),
+b1 AS (SELECT *, max(het) OVER (PARTITION BY gene) AS best FROM q1), t1 AS (SELECT gene, max(t) AS t FROM (SELECT DISTINCT gene, best FROM b1), (SELECT unnest([0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5]) AS t) WHERE t <= best GROUP BY gene),
+h1 AS (SELECT b1.* FROM b1 JOIN t1 USING (gene) WHERE het >= t QUALIFY row_number() OVER (PARTITION BY gene ORDER BY het DESC, p) <= ceil({LIMIT.per_kilobase} * 120 / 1000)),
+r1 AS (SELECT * FROM h1 WHERE NOT ({SQL_STRETCH}) OR alt_count >= {LIMIT.alt_stretch}), e1 AS (SELECT r1.* FROM r1 JOIN al ON (r1.gene, r1.chrom, r1.p) = (al.gene, al.chrom, al.p) WHERE NOT (r1.ref = 'A' AND al.base = 'G' AND r1.p % 2 = 0)),
+c1 AS (SELECT *, coalesce(lead(p) OVER w - p <= {LIMIT.cluster_window}, false) OR coalesce(p - lag(p) OVER w <= {LIMIT.cluster_window}, false) AS near FROM e1 WINDOW w AS (PARTITION BY gene ORDER BY p)), k1 AS (SELECT * FROM c1 WHERE NOT near OR alt_count >= {LIMIT.alt_cluster}),
+n1 AS (SELECT k1.* FROM k1 JOIN (SELECT DISTINCT gene, gs FROM gn) g USING (gene) WHERE NOT (p >= gs + 40 AND p < gs + 70))
+SELECT step, gene AS "geneID", chrom, p AS pos FROM (SELECT 'depth' AS step, gene, chrom, p FROM d1 UNION ALL SELECT 'quality', gene, chrom, p FROM d1 UNION ALL SELECT 'het', gene, chrom, p FROM h1 UNION ALL SELECT 'stretch', gene, chrom, p FROM r1 UNION ALL SELECT 'editing', gene, chrom, p FROM e1 UNION ALL SELECT 'cluster', gene, chrom, p FROM k1 UNION ALL SELECT 'novel', gene, chrom, p FROM n1)""")
+def filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sites each step of the chain leaves."""
+    sites, seen = called(spark, sf_dir)
+    sites, seen = written(sites), written(seen)
+    regions = genes(spark, sf_dir)
+    exons = regions.select("geneID", F.col("geneStart").alias("s"), (F.col("geneStart") + 120).alias("e"))
+    novel = regions.select("geneID", (F.col("geneStart") + 40).alias("s"), (F.col("geneStart") + 70).alias("e"))
+    edits = sites.where("ref = 'A' AND pos % 2 = 0").select("chrom", "pos", "ref", F.lit("G").alias("alt")).distinct()
+    rounded = chain.chained_filters(sites, seen, exons, LIMIT, tiles=tiles(spark, sf_dir), tile=TILE, edits=edits, novel=novel)
+    out = None
+    for step, df in rounded.items():
+        own = df.select(F.lit(step).alias("step"), "geneID", "chrom", "pos")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tests_of_fit
-from ..operators import downstream, fit, observed, phasing, switching, validation
+from ..operators import assembly, downstream, fit, observed, phasing, switching, validation
+from ..sources import matrices
+from ..sources.shared import written
 from .catalog import SQL_FIXED, codes, fixed, query, r6
 from .proxies import SQL_BASES, SQL_WEIGHTS, bases, parts, table, weights
 
@@ -226,3 +228,49 @@ def raw_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     isoforms = isoform_weights(spark, sf_dir).select("geneID", "Read", "Isoform").distinct()
     out = validation.raw_validation(raw_links(spark, sf_dir, events), validation.read_alleles(seen, ["nth", "base"]), isoforms, events)
     return out.drop("chrom", "snv_ref").withColumns({"raw_chi2": F.round("raw_chi2", 4), "raw_p_value": r6("raw_p_value"), "raw_p_value_adj": r6("raw_p_value_adj")})
+
+
+def event_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(events, pairs, raw, gene_snv) with values that follow from sizes and places; some variants have no base, no test or no context."""
+    found = switching.isoform_events(sub_exons(spark, sf_dir))
+    renamed = {"s": "event_start", "e": "event_end"}
+    s, e, k = F.col("event_start"), F.col("event_end"), F.col("k")
+    events = switching.gene_events(found).withColumnsRenamed(renamed).withColumns({"geneName": F.lower("geneID"), "geneChr": F.when(e % 13 != 0, "c"), "hapA_present": (s % 7).cast("double"), "hapA_absent": (e % 5).cast("double"), "hapB_present": (e % 7).cast("double"), "hapB_absent": (s % 5).cast("double"), "chi2": (s % 11).cast("double"), "p_value": 1.0 / (1 + s % 11), "p_value_adj": F.lit(1.0)})
+    links = raw_links(spark, sf_dir, found).withColumnsRenamed(renamed).withColumn("k", F.floor(F.col("snv_pos") / 30))
+    pairs = links.withColumns({"snv_hap": F.when(k % 2 == 0, "A").otherwise("B"), "h_A": k / 50.0, "hat_Z_prob_revised": 1 - k / 60.0, "exonic_distance": F.abs(F.col("snv_pos") - s), "genomic_distance": F.abs(F.col("snv_pos") - e)})
+    raw = links.where("k % 3 <> 0").withColumns({"raw_ref_present": k, "raw_ref_absent": F.when(k % 5 != 0, k + 1), "raw_alt_present": k * 2, "raw_alt_absent": F.lit(3).cast("bigint"), "raw_p_value": 1.0 / k, "raw_test_type": F.lit("t")})
+    n = F.substring("geneID", 7, 3).cast("bigint")
+    gene_snv = parts(spark, sf_dir).select("geneID", F.col("size").cast("bigint").alias("k")).distinct().where(n % 6 != 0).withColumns({"snv_pos": k * 30 + 3, "snv_ref": F.lit("A"), "snv_alt": F.when(k % 11 != 0, "G"), "n_reads": n * 10, "gene_major_hap": F.when(n % 2 == 0, "A").otherwise("B"), "es_ase": n / 8.0, "snvID": F.when(k % 4 == 0, F.concat(F.lit("id"), k.cast("string"))), "snv_expr_direction": F.when(k % 2 == 0, "+").otherwise("-")})
+    return events, pairs, raw, gene_snv
+
+
+@query(f"""WITH {SQL_EXONS}, st AS (SELECT DISTINCT p_brand AS gene, p_size::BIGINT AS k FROM part), li AS (SELECT gene, t, s, e, k, k * 30 + 3 AS pos, CASE WHEN k % 11 <> 0 THEN 'G' END AS alt FROM st JOIN ge USING (gene) WHERE s // 30 IN (k, k + 1)),
+gx AS (SELECT gene, n * 10 AS n_reads, CASE WHEN n % 2 = 0 THEN 'A' ELSE 'B' END AS mh, n / 8.0 AS ase FROM (SELECT DISTINCT gene, substr(gene, 7)::BIGINT AS n FROM st) WHERE n % 6 <> 0),
+x AS (SELECT ge.*, li.k, pos, alt, CASE WHEN pos IS NOT NULL THEN 'A' END AS rf, round_even(CASE WHEN s % 7 + e % 5 > 0 THEN (s % 7) / (s % 7 + e % 5) END, 4) AS fa, round_even(CASE WHEN e % 7 + s % 5 > 0 THEN (e % 7) / (e % 7 + s % 5) END, 4) AS fb, CASE WHEN e % 13 <> 0 THEN 'c' END AS chr FROM ge LEFT JOIN li USING (gene, t, s, e)),
+y AS (SELECT x.*, gx.n_reads, mh, ase, CASE WHEN fa > fb THEN 'A' WHEN fa <= fb THEN 'B' END AS pf, CASE WHEN k % 2 = 0 THEN 'A' WHEN k % 2 = 1 THEN 'B' END AS hp, coalesce(k % 3 <> 0, false) AS rw, gx.gene IS NOT NULL AS cx FROM x LEFT JOIN gx USING (gene))
+SELECT gene AS "geneID", lower(gene) AS "geneName", t || ':' || s || '-' || e AS "eventID", e - s AS event_length, n_reads, mh AS gene_major_hap, round(ase, 6) AS es_ase, round(fa, 4) AS event_inclusion_frac_A, round(fb, 4) AS event_inclusion_frac_B, pf AS event_pref_hap, CASE WHEN pf = mh THEN 'major' WHEN pf <> mh THEN 'minor' END AS event_pref_major_minor,
+(s % 11)::DOUBLE AS event_chi2, count(pos) OVER (PARTITION BY gene, t, s, e) AS linked_snv_count, pos IS NOT NULL AND row_number() OVER (PARTITION BY gene, t, s, e, pos IS NULL ORDER BY abs(pos - s), abs(pos - e), pos) = 1 AS is_nearest_snv_for_event,
+CASE WHEN pos IS NULL THEN NULL WHEN cx AND k % 4 = 0 THEN 'id' || k ELSE chr || ':' || pos || ':A:' || alt END AS "snvID", pos AS snv_pos, alt AS snv_alt, CASE WHEN pos IS NOT NULL AND cx THEN CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END END AS snv_expr_direction, CASE WHEN hp = pf THEN 'promotes_event' WHEN hp <> pf THEN 'reduces_event' END AS snv_event_direction,
+rw AS raw_validation_available, CASE WHEN rw THEN k * 3 + 3 + CASE WHEN k % 5 <> 0 THEN k + 1 ELSE 0 END END AS raw_total_reads, CASE WHEN rw THEN 't' END AS raw_test_type FROM y""")
+def event_snv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with variants, tests and context; missing alternatives meet missing ones."""
+    out = assembly.event_snv(*event_parts(spark, sf_dir), "s", "Bulk")
+    kept = ["geneID", "geneName", "eventID", "event_length", "n_reads", "gene_major_hap", "event_inclusion_frac_A", "event_inclusion_frac_B", "event_pref_hap", "event_pref_major_minor", "event_chi2", "linked_snv_count", "is_nearest_snv_for_event", "snvID", "snv_pos", "snv_alt", "snv_expr_direction", "snv_event_direction", "raw_validation_available", "raw_total_reads", "raw_test_type"]
+    return out.select(*kept, r6("es_ase").alias("es_ase"))
+
+
+@query(f"""WITH {SQL_WEIGHTS}, l AS (SELECT gene, cell, iso, ph, unnest([{{'h': 'hapA', 'v': a}}, {{'h': 'hapB', 'v': b}}], recursive := true) FROM w),
+r AS (SELECT 'gene' AS tag, cell, gene || '_' || h AS f, v FROM l UNION ALL SELECT 'transcript', cell, gene || '_' || iso || '_' || h, v FROM l UNION ALL SELECT 'gene_phasable', cell, gene || '_' || h, v FROM l WHERE ph = 1 UNION ALL SELECT 'transcript_phasable', cell, gene || '_' || iso || '_' || h, v FROM l WHERE ph = 1),
+t AS (SELECT tag, cell, f, round(sum(v), 6) AS v FROM r GROUP BY ALL HAVING round(sum(v), 6) <> 0)
+SELECT tag, cell AS "Cell", f AS feature, dense_rank() OVER (PARTITION BY tag ORDER BY cell) AS i, dense_rank() OVER (PARTITION BY tag ORDER BY f) AS j, v AS value FROM t""")
+def count_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the four count matrices with their dense numbers."""
+    counts = downstream.isoform_counts(weights(spark, sf_dir), ["geneID", "Cell"]).withColumnRenamed("geneID", "geneName")
+    counts = counts.withColumns({c: r6(c) for c in ("hapA", "hapB", "hapA_phasable", "hapB_phasable")})
+    triples = written(matrices.count_triples(counts).withColumn("value", r6("value")).where("value <> 0"))
+    out = None
+    for tag in matrices.TAGS:
+        own = triples.where(F.col("tag") == tag)
+        named = own.join(matrices.numbered(own, "Cell", "i"), "Cell").join(matrices.numbered(own, "feature", "j"), "feature")
+        out = named if out is None else out.unionByName(named)
+    return out.select("tag", "Cell", "feature", "i", "j", "value")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from phasewell.functions import tests_of_fit
 from phasewell.functions.intervals import judge_event
-from phasewell.operators import calling, features, fit, observed, phasing, switching, validation
+from phasewell.operators import assembly, calling, chain, features, fit, observed, phasing, switching, validation
+from phasewell.sources import matrices
 
 
 def simulated(genes: int = 2, reads: int = 40, sites: int = 8, seed: int = 1) -> list[tuple]:
@@ -388,3 +389,78 @@ def test_raw_validation_against_plain_loops(spark):
             low = min(low, order[k - 1][0] * len(order) / k)
             assert math.isclose(order[k - 1][1], low, rel_tol=1e-9)
         assert len(order) >= 4
+
+
+def test_event_table_keeps_rows_and_meets_missing_keys(spark):
+    kinds = "geneID string, event_type string, event_start bigint, event_end bigint"
+    weights = "geneName string, geneChr string, hapA_present double, hapA_absent double, hapB_present double, hapB_absent double, chi2 double, p_value double, p_value_adj double"
+    events = spark.createDataFrame([("g", "exon", 1, 9, "G", "c", 3.0, 1.0, 1.0, 3.0, 2.0, 0.1, 0.2), ("g", "junction", 9, 20, "G", None, 0.0, 0.0, 1.0, 1.0, 1.0, 0.3, 0.4), ("h", "exon", 1, 9, "H", "c", 2.0, 2.0, 2.0, 2.0, 0.5, 0.5, 0.6)], f"{kinds}, {weights}")
+    variant = "snv_pos bigint, snv_ref string, snv_alt string"
+    pair = [("g", "exon", 1, 9, 5, "A", "G", "A", 0.9, 0.8, 0, 4), ("g", "exon", 1, 9, 12, "C", None, "B", 0.2, 0.8, 3, 3)]
+    pairs = spark.createDataFrame(pair + pair[:1], f"{kinds}, {variant}, snv_hap string, h_A double, hat_Z_prob_revised double, exonic_distance bigint, genomic_distance bigint")
+    raw = spark.createDataFrame([("g", "exon", 1, 9, 12, "C", None, 4, None, 2, 1, "t")], f"{kinds}, {variant}, raw_ref_present bigint, raw_ref_absent bigint, raw_alt_present bigint, raw_alt_absent bigint, raw_test_type string")
+    context = spark.createDataFrame([("g", 12, "C", None, 7, "A", "mine", "+"), ("g", 5, "A", "G", 7, "A", None, "-")], f"geneID string, {variant}, n_reads bigint, gene_major_hap string, snvID string, snv_expr_direction string")
+    out = assembly.event_snv(events, pairs, raw, context, "s", "Bulk")
+    assert out.columns == list(assembly.COLUMNS) and len(out.columns) == 68 and dict(out.dtypes) == assembly.COLUMNS
+    got = {(r.geneID, r.event_type, r.snv_pos): r for r in out.collect()}
+    assert len(got) == out.count() == 4
+    a, b, none, other = got["g", "exon", 5], got["g", "exon", 12], got["g", "junction", None], got["h", "exon", None]
+    assert (a.linked_snv_count, a.is_nearest_snv_for_event, b.is_nearest_snv_for_event, a.has_linked_snv) == (2, True, False, True)
+    assert (a.snvID, b.snvID, none.snvID) == ("c:5:A:G", "mine", None) and (a.eventID, a.event_length) == ("exon:1-9", 8)
+    assert (a.event_inclusion_frac_A, a.event_pref_hap, a.event_pref_major_minor, a.snv_event_direction, b.snv_event_direction) == (0.75, "A", "major", "promotes_event", "reduces_event")
+    assert (b.raw_validation_available, b.raw_total_reads, b.raw_test_type, a.raw_validation_available, a.raw_total_reads) == (True, 7, "t", False, None)
+    assert (none.event_inclusion_frac_A, none.event_pref_hap, none.linked_snv_count, none.has_linked_snv) == (None, None, 0, False)
+    assert (other.event_pref_hap, other.n_reads, other.event_pref_major_minor, a.n_reads) == ("B", None, None, 7)
+    bare = assembly.event_snv(events, None, None, None, "s", "Bulk")
+    assert bare.count() == 3 and dict(bare.dtypes) == assembly.COLUMNS
+    assert assembly.event_snv(events.limit(0), pairs, raw, context, "s", "Bulk").count() == 0
+
+
+def test_matrices_equal_a_pivot(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(f"G{g}", f"cell{c}", f"i{i}", *[round(r.choice([0.0, 0.0, r.random()]), 3) for _ in range(4)]) for g in range(4) for c in range(9) for i in range(2) if r.random() < 0.7]
+    counts = spark.createDataFrame(rows, "geneName string, Cell string, Isoform string, hapA double, hapB double, hapA_phasable double, hapB_phasable double")
+    cells = spark.createDataFrame([(f"cell{c}", None if c == 8 else "a/b" if c % 2 else "x y") for c in range(9)], "Cell string, CellType string")
+    assert matrices.cell_types(cells) == ["Bulk", "a/b", "x y"]
+    names = matrices.write_count_matrices(counts, str(tmp_path), cells)
+    assert len(names) == 12 and {f"count_mat_{t}" for t in matrices.TAGS} <= set(names)
+    table = pd.DataFrame(rows, columns=counts.columns)
+    for level, by in (("gene", ["geneName"]), ("transcript", ["geneName", "Isoform"])):
+        for suffix in ("", "_phasable"):
+            want = {}
+            for h in ("hapA", "hapB"):
+                for key, v in table.groupby(["Cell", *by])[f"{h}{suffix}"].sum().items():
+                    if v:
+                        want[key[0], "_".join([*key[1:], h])] = v
+            for name, own in ((f"count_mat_{level}{suffix}", lambda c: True), (f"count_mat_{level}{suffix}_ct_a_b", lambda c: int(c[4:]) % 2)):
+                lines = [x for f in sorted((tmp_path / name / "matrix").glob("part-*")) for x in f.read_text().splitlines()]
+                mine = {k: v for k, v in want.items() if own(k[0])}
+                assert lines[0] == matrices.HEADER and lines[1] == f"{len({c for c, _ in mine})} {len({f for _, f in want})} {len(mine)}"
+                ids = {n: {x[0]: x[1] for x in spark.read.parquet(str(tmp_path / name / n)).collect()} for n in ("rows", "columns")}
+                assert ids["rows"] == {c: k + 1 for k, c in enumerate(sorted({c for c, _ in mine}))} and ids["columns"] == {f: k + 1 for k, f in enumerate(sorted({f for _, f in want}))}
+                body = {tuple(map(int, x.split()[:2])): float(x.split()[2]) for x in lines[2:]}
+                assert body.keys() == {(ids["rows"][c], ids["columns"][f]) for c, f in mine} and all(math.isclose(body[ids["rows"][c], ids["columns"][f]], v) for (c, f), v in mine.items())
+                back = {(x.Cell, x.feature): x.value for x in matrices.read_matrix(spark, str(tmp_path / name)).collect()}
+                assert back.keys() == mine.keys()
+
+
+def test_steps_of_the_chain(spark, called):
+    _, _, frame, regions, tiles = called
+    sites, seen = (x.cache() for x in calling.call_sites(frame, regions, tiles, 50, depth=6, alt=1, het=0.3))
+    exons = spark.createDataFrame([("g1", 0, 150), ("g1", 200, 250)], "geneID string, s bigint, e bigint")
+    limits = chain.Limits(alt=1, depth=6, het=0.9, per_kilobase=20.0)
+    steps = chain.chained_filters(sites, seen, exons, limits, tiles=tiles, tile=50, scorer=features.Logistic({"depth": 0.01}, 0.0))
+    assert list(steps) == ["depth", "quality", "het", "stretch", "cluster", "scored"]
+    rows = {n: {(x.geneID, x.pos): x for x in d.collect()} for n, d in steps.items()}
+    assert rows["depth"].keys() == rows["quality"].keys() and all(rows[b].keys() <= rows[a].keys() for a, b in zip(rows, list(rows)[1:], strict=False))
+    own = sorted((x for x in rows["quality"].values() if x.geneID == "g1"), key=lambda x: (-x.het_prob, x.pos))
+    level = next(t for t in (0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5) if own[0].het_prob >= t)
+    assert rows["het"].keys() == {("g1", x.pos) for x in own[:4] if x.het_prob >= level}  # 200 bases of exons: four sites; g2 has none
+    strict = chain.chained_filters(sites, seen, exons, chain.Limits(alt=1, depth=6, het=0.9, fallback=False))
+    assert {(x.geneID, x.pos) for x in strict["het"].collect()} == {k for k, x in rows["quality"].items() if x.het_prob >= 0.9}
+    free = chain.chained_filters(sites, seen, exons, chain.Limits(alt=1, depth=6, het=-1.0))
+    assert free["het"].count() == len(rows["quality"])
+    some = sorted(rows["depth"])[:3]
+    trusted = spark.createDataFrame([("c1", p, 0.5, 1) for _, p in some], "chrom string, pos bigint, trust double, depth int")
+    kept = chain.chained_filters(sites, seen, exons, limits, confidence=trusted)
+    assert list(kept) == ["depth", "quality", "trusted"] and {x.pos for x in kept["trusted"].collect()} == {p for _, p in some} and "trust" in kept["trusted"].columns
