@@ -143,8 +143,7 @@ def fit(obs: DataFrame, start: DataFrame, gene: list[str], *, max_iter: int = 50
             new = own.selectExpr(*key, "h_A", "h_m", "h_A as old_h_A", "h_m as old_h_m", "cast(h_m > 0.5 as double) as z")
         else:
             marks = told.join(own.select(*key, "h_A"), key).groupBy(*key).agg(F.expr(f"sum(ln(0.5 * greatest({FLOOR!r}, c0 + c1 * h_A)) - ln(greatest({FLOOR!r}, noise))) as odds"))
-            prior = "least(1 - 1e-6, greatest(1e-6, h_m))"
-            odds = f"least(700, greatest(-700, odds + ln({prior}) - ln(1 - {prior})))"
+            odds = f"least(700, greatest(-700, odds + ln(greatest({FLOOR!r}, h_m)) - ln(greatest({FLOOR!r}, 1 - h_m))))"
             new = own.join(marks, key).selectExpr(*key, "h_A as old_h_A", "h_m as old_h_m", f"1 / (1 + exp(-{odds})) as z", "0.0D as lo", "1.0D as hi")
             for _ in range(PASSES):
                 new = _narrowed(told, new, key)

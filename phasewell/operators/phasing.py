@@ -231,8 +231,8 @@ def phase_observed(read: np.ndarray, site: np.ndarray, code: np.ndarray, error:
             alpha = float(hat[phasable].mean())
         if frozen is None:
             mixed = np.maximum(FLOOR, hat[read] * e1 + (1 - hat[read]) * e0)
-            prior = np.clip(marker, 1e-6, 1 - 1e-6)
-            odds = per_site(np.log(0.5 * mixed) - np.log(np.maximum(FLOOR, noise))) + np.log(prior) - np.log(1 - prior)
+            prior = np.log(np.maximum(FLOOR, marker)) - np.log(np.maximum(FLOOR, 1 - marker))
+            odds = per_site(np.log(0.5 * mixed) - np.log(np.maximum(FLOOR, noise))) + prior
             marker = np.where(keep, 1 / (1 + np.exp(-np.clip(odds, -700, 700))), 0.0)
         share = hat[read]
         base1, base0 = np.where(alt, low, np.where(ref, up, other)), np.where(alt, up, np.where(ref, low, other))
