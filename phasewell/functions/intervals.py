@@ -1,6 +1,6 @@
 """Column builders for genomic intervals: arrays of struct<s, e>, 0-based and half-open.
 
-P2-P4 (CIGAR blocks, introns, overlaps), P10 (repeats), P16 (exonic distance), P17 (event
+P2-P4 (CIGAR blocks, introns, overlaps), P10 (repeats), P17 (event
 judgement), P19 (sequence context), P24 (merging).
 """
 
@@ -69,18 +69,6 @@ def merge_intervals(intervals: Column, gap: int = 0) -> Column:
     return F.aggregate(clean, F.array().cast(INTERVALS), step)
 
 
-def exonic_position(pos: Column, exons: Column) -> Column:
-    """Bases of disjoint exons before a position."""
-    return F.aggregate(exons, F.lit(0).cast("bigint"), lambda a, x: a + F.greatest(F.lit(0), F.least(pos - x["s"], x["e"] - x["s"])))
-
-
-def exonic_distance(pos: Column, start: Column, end: Column, exons: Column) -> Column:
-    """Distance in spliced coordinates from a site to an event, 0 inside it, both ends in."""
-    at = exonic_position(pos, exons)
-    outside = F.least(F.abs(at - exonic_position(start, exons)), F.abs(at - exonic_position(end, exons)))
-    return F.when((start <= pos) & (pos <= end), F.lit(0).cast("bigint")).otherwise(outside)
-
-
 def judge_event(kind: Column, start: Column, end: Column, blocks: Column, introns: Column) -> Column:
     """'include', 'skip' or 'unobserved': what a read's alignment says of an event."""
     first = F.array_min(F.transform(blocks, lambda x: x["s"]))

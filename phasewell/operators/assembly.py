@@ -88,3 +88,49 @@ def event_snv(events: DataFrame, pairs: DataFrame | None, raw: DataFrame | None,
         }
     ).withColumn("has_linked_snv", F.col("linked_snv_count") > 0)
     return out.select(*[F.col(c).cast(t).alias(c) for c, t in COLUMNS.items()])
+
+
+#: Fixed columns of what a gene's effects give to its variants, and of the result.
+EFFECT = {
+    "n_reads": "bigint", "n_reads_phasable": "bigint", "gene_n_snvs": "bigint", "gene_n_snvs_called": "bigint", "gene_alpha_hat": "double", "gene_alpha_hat_low": "double", "gene_alpha_hat_high": "double",
+    "gene_alpha_hat_major": "double", "gene_alpha_hat_major_low": "double", "gene_alpha_hat_major_high": "double", "gene_major_hap": "string", "gene_minor_hap": "string", "gene_p_value": "double", "gene_p_value_adj": "double",
+    "ASE_call": "string", "ASTU_call": "string", "dominant_isoform_overall": "string", "top_isoform_hap_major": "string", "top_isoform_hap_minor": "string", "top_isoform_hap_major_frac": "double", "top_isoform_hap_minor_frac": "double",
+    "isoform_p_value": "double", "isoform_p_value_high": "double", "isoform_p_value_low": "double", "isoform_p_value_adj": "double", "isoform_p_value_adj_high": "double", "isoform_p_value_adj_low": "double",
+    "shrinkage_k": "double", "es_ase": "double", "es_astu": "double", "astu_source": "string",
+}
+GENE_SNV = {
+    "Sample": "string", "CellType": "string", "geneID": "string", "geneName": "string", "geneChr": "string", **EFFECT, "snvID": "string", "snv_pos": "bigint", "snv_ref": "string", "snv_alt": "string",
+    "snv_depth_bulk": "bigint", "snv_alt_count_bulk": "bigint", "snv_alt_frac_bulk": "double", "h_A": "double", "hat_Z_prob_revised": "double", "snv_hap": "string", "snv_on_minor_hap": "boolean",
+    "snv_expr_direction": "string", "snv_es_ase_signed": "double", "dominant_isoform_pref_hap": "string", "snv_astu_direction": "string", "snv_es_astu_signed": "double",
+}
+
+
+def signed_effects(rows: DataFrame) -> DataFrame:
+    """The haplotype of each alternative allele, and the gene's effects seen from it.
+
+    An unphased allele counts to B. Directions and signs are NULL where the gene has no major haplotype, or
+    its dominant isoform prefers none.
+    """
+    toward = lambda c, yes, no: F.when(F.col(c).isin("A", "B"), F.when(F.col("snv_hap") == F.col(c), yes).otherwise(no))
+    out = rows.withColumn("snv_hap", F.when(F.col("h_A") > 0.5, "A").otherwise("B"))
+    return out.withColumns(
+        {
+            "snv_on_minor_hap": toward("gene_major_hap", F.lit(False), F.lit(True)), "snv_expr_direction": toward("gene_major_hap", "+", "-"), "snv_es_ase_signed": toward("gene_major_hap", F.col("es_ase"), -F.col("es_ase")),
+            "snv_astu_direction": toward("dominant_isoform_pref_hap", "+", "-"), "snv_es_astu_signed": toward("dominant_isoform_pref_hap", F.col("es_astu"), -F.col("es_astu")),
+        }
+    )
+
+
+def gene_snv(variants: DataFrame, effects: DataFrame, sample: str, cell_type: str) -> DataFrame:
+    """The 52 columns of gene_snv (C14, J9): every variant with its gene's effects, variants without them too.
+
+    variants: geneID, geneName, chrom, pos, ref, alt, depth, alt_count, alt_frac, h_A, hat_Z_prob_revised; effects: one
+    row per gene, geneID and columns of EFFECT, dominant_isoform_pref_hap among them. Lacking columns give NULLs.
+    """
+    kinds = {**EFFECT, "dominant_isoform_pref_hap": "string"}
+    out = left_join(variants, effects.select("geneID", *[c for c in kinds if c in effects.columns]).dropDuplicates(["geneID"]), ["geneID"])
+    names = {"chrom": "geneChr", "pos": "snv_pos", "ref": "snv_ref", "alt": "snv_alt", "depth": "snv_depth_bulk", "alt_count": "snv_alt_count_bulk", "alt_frac": "snv_alt_frac_bulk"}
+    renamed = out.withColumnsRenamed(names)
+    out = renamed.withColumns({c: F.lit(None).cast(t) for c, t in {**GENE_SNV, **kinds}.items() if c not in renamed.columns})
+    out = signed_effects(out).withColumns({"Sample": F.lit(sample), "CellType": F.lit(cell_type), "snvID": snv_id()})
+    return out.select(*[F.col(c).cast(t).alias(c) for c, t in GENE_SNV.items()])

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alleles import direction, legacy_text, ratio, refined_marker, snv_haplotype
+from ..functions.alleles import legacy_text, refined_marker, snv_haplotype
 from ..functions.tests_of_fit import chi2_2x2, chi2_sf
 
 BULK = "Bulk"
@@ -126,12 +126,6 @@ def refine_snvs(sites: DataFrame, gene: list[str], at_least: float = 0.5) -> Dat
     return kept.withColumn("gene_n_snvs_called", F.count(F.lit(1)).over(Window.partitionBy(*gene))).withColumn("snv_hap", snv_haplotype(F.col("h_A")))
 
 
-def signed_effects(rows: DataFrame) -> DataFrame:
-    """Effects signed by the haplotype of the allele."""
-    sign = F.when(F.col("snv_expr_direction") == "+", 1).when(F.col("snv_expr_direction") == "-", -1)
-    return rows.withColumn("snv_expr_direction", direction(F.col("snv_hap"), F.col("major_hap"))).withColumn("snv_es_ase", sign * F.col("es_ase"))
-
-
 def event_weights(isoforms: DataFrame, events: DataFrame, by: list[str], isoform: str = "Isoform") -> DataFrame:
     """Haplotype weights with and without each event.
 
@@ -274,13 +268,3 @@ def collapse_suffixes(df: DataFrame, names: list[str]) -> DataFrame:
         elif x in out.columns:
             out = out.withColumnRenamed(x, n)
     return out
-
-
-def with_columns(df: DataFrame, schema: dict[str, str]) -> DataFrame:
-    """Columns of a fixed output, missing ones as NULL."""
-    return df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in schema.items()])
-
-
-def usage_share(weights: DataFrame) -> DataFrame:
-    """Share of an event on each haplotype."""
-    return weights.withColumn("shareA", ratio(F.col("hapA_present"), F.col("hapA_present") + F.col("hapA_absent"))).withColumn("shareB", ratio(F.col("hapB_present"), F.col("hapB_present") + F.col("hapB_absent")))

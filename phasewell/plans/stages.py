@@ -13,7 +13,7 @@ from ..functions import tests_of_fit
 from ..operators import assembly, downstream, fit, observed, phasing, switching, validation
 from ..sources import matrices
 from ..sources.shared import written
-from .catalog import SQL_FIXED, codes, fixed, query, r6
+from .catalog import SQL_BOUNDS, SQL_FIXED, codes, fixed, query, r6
 from .proxies import SQL_BASES, SQL_WEIGHTS, bases, parts, table, weights
 
 TRANSCRIPT = "^[A-Z]+"
@@ -274,3 +274,19 @@ def count_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         named = own.join(matrices.numbered(own, "Cell", "i"), "Cell").join(matrices.numbered(own, "feature", "j"), "feature")
         out = named if out is None else out.unionByName(named)
     return out.select("tag", "Cell", "feature", "i", "j", "value")
+
+
+@query(f"""WITH {SQL_BOUNDS}, ef AS (SELECT gene, n, np, major, round((l + h) / 2, 6) AS es, substr(gene, 7)::BIGINT AS g FROM al WHERE ct = 'Bulk' AND substr(gene, 7)::BIGINT % 4 <> 0),
+v AS (SELECT p_brand AS gene, p_partkey AS pos, CASE WHEN p_partkey % 6 <> 0 THEN 'G' END AS alt, p_size AS depth, CASE WHEN p_partkey % 10 <> 0 THEN (p_partkey % 21) / 20.0 END AS h FROM part),
+x AS (SELECT v.*, n, np, major, es, CASE g % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS pf, CASE WHEN g % 5 <> 0 THEN g / 10.0 END AS et, CASE WHEN h > .5 THEN 'A' ELSE 'B' END AS hp FROM v LEFT JOIN ef USING (gene))
+SELECT gene AS "geneID", 'c:' || pos || ':A:' || alt AS "snvID", pos AS snv_pos, alt AS snv_alt, depth AS snv_depth_bulk, n AS n_reads, np AS n_reads_phasable, major AS gene_major_hap, hp AS snv_hap, hp <> major AS snv_on_minor_hap, CASE WHEN hp = major THEN '+' WHEN hp <> major THEN '-' END AS snv_expr_direction,
+round(CASE WHEN hp = major THEN es WHEN hp <> major THEN -es END, 6) AS snv_es_ase_signed, pf AS dominant_isoform_pref_hap, CASE WHEN hp = pf THEN '+' WHEN hp <> pf THEN '-' END AS snv_astu_direction, round(CASE WHEN hp = pf THEN et WHEN hp <> pf THEN -et END, 6) AS snv_es_astu_signed FROM x""")
+def gene_snv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with the effects of their gene, signed by the allele's haplotype."""
+    p, g = table(spark, sf_dir, "part"), F.substring("geneID", 7, 3).cast("bigint")
+    b = downstream.allelic_bounds(downstream.with_bulk(weights(spark, sf_dir)), ["geneID", "CellType"]).where("CellType = 'Bulk'").where(g % 4 != 0)
+    effects = b.select("geneID", "n_reads", "n_reads_phasable", F.col("major_hap").alias("gene_major_hap"), r6((F.col("alpha_hat_low") + F.col("alpha_hat_high")) / 2).alias("es_ase"), F.when(g % 3 == 0, "A").when(g % 3 == 1, "B").alias("dominant_isoform_pref_hap"), F.when(g % 5 != 0, g / 10.0).alias("es_astu"))
+    k = F.col("p_partkey")
+    variants = p.select(F.col("p_brand").alias("geneID"), F.lit("c").alias("chrom"), k.alias("pos"), F.lit("A").alias("ref"), F.when(k % 6 != 0, "G").alias("alt"), F.col("p_size").alias("depth"), F.when(k % 10 != 0, (k % 21) / 20.0).alias("h_A"))
+    out = assembly.gene_snv(variants, effects, "s", "Bulk")
+    return out.select("geneID", "snvID", "snv_pos", "snv_alt", "snv_depth_bulk", "n_reads", "n_reads_phasable", "gene_major_hap", "snv_hap", "snv_on_minor_hap", "snv_expr_direction", r6("snv_es_ase_signed").alias("snv_es_ase_signed"), "dominant_isoform_pref_hap", "snv_astu_direction", r6("snv_es_astu_signed").alias("snv_es_astu_signed"))

@@ -464,3 +464,15 @@ def test_steps_of_the_chain(spark, called):
     trusted = spark.createDataFrame([("c1", p, 0.5, 1) for _, p in some], "chrom string, pos bigint, trust double, depth int")
     kept = chain.chained_filters(sites, seen, exons, limits, confidence=trusted)
     assert list(kept) == ["depth", "quality", "trusted"] and {x.pos for x in kept["trusted"].collect()} == {p for _, p in some} and "trust" in kept["trusted"].columns
+
+
+def test_gene_table_signs_effects(spark):
+    variants = spark.createDataFrame([("g", "c", 5, "A", "G", 0.9), ("g", "c", 6, "A", None, 0.5), ("h", "c", 7, "A", "G", None), ("no", "c", 8, "C", "T", 0.8)], "geneID string, chrom string, pos bigint, ref string, alt string, h_A double")
+    effects = spark.createDataFrame([("g", 9, "A", 1.5, "B", -0.5), ("h", 4, None, 2.0, None, 0.1)], "geneID string, n_reads bigint, gene_major_hap string, es_ase double, dominant_isoform_pref_hap string, es_astu double")
+    out = assembly.gene_snv(variants, effects, "s", "T")
+    assert dict(out.dtypes) == assembly.GENE_SNV and len(out.columns) == 52
+    got = {r.snv_pos: r for r in out.collect()}
+    told = lambda r: (r.snv_hap, r.snv_on_minor_hap, r.snv_expr_direction, r.snv_es_ase_signed, r.snv_astu_direction, r.snv_es_astu_signed)
+    assert told(got[5]) == ("A", False, "+", 1.5, "-", 0.5) and told(got[6]) == ("B", True, "-", -1.5, "+", -0.5)
+    assert told(got[7]) == ("B", None, None, None, None, None) and told(got[8]) == ("A", None, None, None, None, None)
+    assert (got[5].snvID, got[6].snvID, got[8].n_reads, got[7].CellType) == ("c:5:A:G", None, None, "T")
