@@ -432,6 +432,51 @@ def test_toxicity_learns_and_ignores_held_out(spark):
     assert all(0 <= x <= 1 for x in got.values())
 
 
+def test_toxicity_trains_on_every_label(spark, monkeypatch):
+    """A word that is toxic only in rows beyond the first 6000 labels by hash is learned; partitions and kind of join don't matter."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 2000)
+    ids = spark.range(10_000).toDF("doc_id").where(~toxicity.held_out()).selectExpr("doc_id").orderBy(toxicity.F.xxhash64("doc_id"), "doc_id").collect()
+    assert len(ids) > 7500
+    rows, labels = [], []
+    for rank, (i,) in enumerate(ids):
+        bad = i % 5 == 0
+        rows.append((i, prose(6, 9000 + i) + ((" garstig" if rank < 6000 else " unerhört") if bad else "")))
+        labels.append((i, int(bad)))
+    probes = [(20_000 + j, f"{prose(5, 31_000 + j)} {word}") for j, word in enumerate(["garstig", "unerhört", ""] * 20)]
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    models = []
+    for partitions, broadcast in ((1, 500_000), (7, 0)):
+        monkeypatch.setattr(toxicity, "BROADCAST_LABELS", broadcast)
+        models.append(toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(partitions), known.repartition(partitions)))
+    for name in ("embedding", "weights", "shift"):
+        assert np.array_equal(getattr(models[0], name), getattr(models[1], name))
+    got = {x["doc_id"]: x["_t_score"] >= 0.5 for x in toxicity.score(spark.createDataFrame(probes, "doc_id bigint, text string"), models[0]).collect()}
+    assert np.mean([got[i] == (not text.endswith(" ")) for i, text in probes]) > 0.95
+    assert np.mean([got[i] for i, text in probes if text.endswith("unerhört")]) > 0.95
+
+
+def test_toxicity_thresholds_equal_plain_loops(spark):
+    r = random.Random(4)
+    rows = [(lang, round(r.gauss(y, 1.5), lang), y) for lang in range(1, 5) for y in [int(r.random() < 0.3) for _ in range(400)]]  # few digits: many ties
+    rows += [(0, 2.0, 1), (0, 2.0, 1), (5, -3.5, 0)]
+    got = {x["lang"]: x for x in toxicity.thresholds(spark.createDataFrame(rows, "lang int, logit double, y int").repartition(5)).collect()}
+    assert set(got) == {-1, 0, 1, 2, 3, 4, 5}
+    for lang, x in got.items():
+        own = [(s, y) for k, s, y in rows if lang in (-1, k)]
+        toxic = sum(y for _, y in own)
+        assert (x["toxic"], x["clean"]) == (toxic, len(own) - toxic)
+        if not 0 < toxic < len(own):
+            assert x["threshold"] == 0
+            continue
+        values = sorted({s for s, _ in own}, reverse=True)
+        cuts = []
+        for s, below in zip(values, [*values[1:], None], strict=True):
+            said = [y for v, y in own if v >= s]
+            cuts.append((2 * sum(said) / (len(said) + toxic), 0.0 if below is None else s - below, s, below))
+        _, _, s, below = max(cuts, key=lambda c: c[:3])
+        assert x["threshold"] == pytest.approx(s - 1e-6 if below is None else (s + below) / 2, abs=1e-12)
+
+
 def lowered(text):
     return WORDS.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
 
