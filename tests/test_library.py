@@ -304,3 +304,88 @@ def test_matrix_market(spark, tmp_path):
 def test_collapse_suffixes(spark):
     df = spark.createDataFrame([(" A", "a", 1), ("b", "c", 2)], "n_x string, n_y string, v int")
     assert [tuple(r) for r in downstream.collapse_suffixes(df, ["n"]).select("v").collect()] == [(1,)]
+
+
+def linked_reads(seed: int, sites: int, reads: int, width: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(read, site) of alternative alleles: a read covers some neighbouring sites and shows those of its haplotype."""
+    r = np.random.default_rng(seed)
+    side, rows = r.random(sites) < 0.5, []
+    for i in range(reads):
+        at, hap = r.integers(0, sites), r.random() < 0.5
+        rows += [(i, first + j) for j in range(at, min(sites, at + width)) if (side[j] == hap) != (r.random() < 0.04)]
+    read, site = np.array(rows).T
+    return read, site
+
+
+@pytest.mark.parametrize("shape", [(30, 400, 10), (150, 700, 25), (260, 2500, 12)])
+def test_first_phase_without_a_table_of_sites(shape):
+    """The same split as by the table, whichever side comes first, from reads and from pairs of sites."""
+    read, site = linked_reads(7, *shape)
+    m, n = shape[0] + 3, shape[1]  # three sites are never alternative
+    table = phasing._together(read, site, n, m)
+    want = phasing._first_phase(table.copy(), np.random.default_rng(42))
+    got = phasing.first_phase_linked(read, site, np.ones(n), m, np.random.default_rng(42))
+    flipped = np.where(np.abs(want - 0.5) > 0.1, 1 - want, want)
+    assert np.allclose(got, want) or np.allclose(got, flipped)
+    i, j = np.nonzero(np.triu(table, 1))
+    by_pairs = phasing.first_phase_linked(np.tile(np.arange(len(i)), 2), np.append(i, j), table[i, j], m, np.random.default_rng(42))
+    assert np.allclose(by_pairs, got)
+
+
+def test_first_phase_of_pieces_and_of_no_links():
+    a, b = linked_reads(1, 20, 200, 8), linked_reads(2, 30, 300, 8, first=20)
+    read, site = np.append(a[0], 200 + b[0]), np.append(a[1], b[1])
+    start = phasing.first_phase_linked(read, site, np.ones(500), 50, np.random.default_rng(42))
+    for own in (start[:20], start[20:]):
+        assert len({x > 0.5 for x in own if abs(x - 0.5) > 0.1}) == 1  # pieces stay whole
+    lone = np.arange(5)
+    want = phasing._first_phase(phasing._together(lone, lone, 5, 5), np.random.default_rng(42))
+    assert np.array_equal(phasing.first_phase_linked(lone, lone, np.ones(5), 5, np.random.default_rng(42)), want)
+
+
+def test_many_sites_need_no_table_of_sites():
+    """A gene of 4500 steering sites: memory follows its 40000 observations, not sites x sites (162 MB a table)."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    read, site = np.divmod(np.unique(r.integers(0, 20_000 * 4500, 40_000)), 4500)
+    code, error = r.integers(0, 2, len(read)), 10 ** -r.uniform(1, 3, len(read))
+    tracemalloc.start()
+    out = phasing.phase_observed(read, site, code, error, 20_000, np.full(4500, 0.95), max_iter=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.h.shape == (4500,) and np.isfinite(out.loglik) and peak < 60e6
+
+
+def test_site_update_is_as_exact_as_halving():
+    r = np.random.default_rng(8)
+    site, fixed = r.integers(0, 200, 5000), r.uniform(0, 0.6, 5000)
+    rising = r.uniform(-1, 1, 5000) * np.where(r.random(5000) < 0.1, 0, fixed)
+    lo, hi = np.zeros(200), np.ones(200)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        up = np.bincount(site, rising / np.maximum(1e-300, fixed + rising * mid[site]), 200) > 0
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    assert np.abs(phasing._best_h(site, fixed, rising, 200) - (lo + hi) / 2).max() < 1e-12
+
+
+def test_a_gene_comes_in_batches(spark):
+    """Names are numbered over all batches of a gene; reads without a steering site and duplicates stay as they were."""
+    r = np.random.default_rng(6)
+    rows = [("g", 7, f"r{i}", f"s{j}", int(r.integers(-1, 3)), float(10 ** -r.uniform(1, 3)), [0.95, 0.93, 0.92, 0.91, 0.2, 0.1, 0.15][j]) for i in range(40) for j in range(7) if r.random() < 0.4]
+    rows += rows[:5]
+    codes = spark.createDataFrame(rows, "geneID string, part int, Read string, snv_id string, r int, pi double, score double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        reads, sites = (x.toPandas() for x in phasing.phase_genes(codes, ["geneID", "part"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    names, i = np.unique([x[2] for x in rows], return_inverse=True)
+    ids, j = np.unique([x[3] for x in rows], return_inverse=True)
+    code, error, score = np.full((len(names), 7), -1), np.ones((len(names), 7)), np.zeros(7)
+    for a, b, x in zip(i, j, rows, strict=True):
+        code[a, b], error[a, b], score[b] = x[4], x[5], x[6]
+    want = phasing.phase(code, error, score)
+    assert len(reads) == len(names) and len(sites) == 7 and set(sites["part"]) == {7}
+    assert np.allclose(sites.set_index("snv_id").loc[ids, "h_A"], want.h) and np.allclose(sites["ll_alt"], want.loglik)
+    assert np.allclose(reads.set_index("Read").loc[names, "hat_I"], want.hat, atol=6e-4) and (reads["reads_phasable"] == 0).any() == (~want.phasable).any()
