@@ -285,7 +285,7 @@ def phase_observed(read: np.ndarray, site: np.ndarray, code: np.ndarray, error:
     shares of ``first_shares``, where they are known.
     """
     m = len(score)
-    keep = steering_sites(score, scored, filter_sites) if frozen is None else frozen[1] > 0
+    keep = frozen[1] > 0 if frozen is not None else steering(score, scored) if filter_sites else np.ones(m, bool)
     use = keep[site]
     read, site, code, error = read[use], site[use], code[use], error[use]
     phasable = np.bincount(read, minlength=n) > 0
@@ -348,10 +348,6 @@ def phase_observed(read: np.ndarray, site: np.ndarray, code: np.ndarray, error:
     return Phased(alpha, h, marker, whole, phasable, loglik, rounds)
 
 
-def steering_sites(score: np.ndarray, scored: bool = False, filter_sites: bool = True) -> np.ndarray:
-    return steering(score, scored) if filter_sites else np.ones(len(score), bool)
-
-
 def first_shares(read: np.ndarray, site: np.ndarray, code: np.ndarray, n: int, keep: np.ndarray, seed: int = 42) -> np.ndarray:
     """Shares that a gene's rounds start from: one half where a site isn't kept."""
     h, place, m = np.full(len(keep), 0.5), np.cumsum(keep) - 1, int(keep.sum())
@@ -415,6 +411,66 @@ def last_codes(i: np.ndarray, j: np.ndarray, code: np.ndarray, error: np.ndarray
     return order[np.append(key[1:] != key[:-1], True) & (code[order] >= 0)]
 
 
+def in_batches(key: tuple[pa.Scalar, ...], by: list[str], columns: dict[str, pa.Array], common: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """A group's rows: its key, columns, and values that all rows share."""
+    for part in pa.table(columns).to_batches(max_chunksize=BATCH):
+        same = [pa.repeat(x, part.num_rows) for x in (*key, *common.values())]
+        yield pa.RecordBatch.from_arrays([*same[: len(by)], *part.columns, *same[len(by) :]], [*by, *columns, *common])
+
+
+def key_kinds(df: DataFrame, by: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+
+
+def with_names(codes: DataFrame, by: list[str], *rest: str) -> DataFrame:
+    return codes.select(*by, *[F.col(c).cast("string").alias(c) for c in ("Read", "snv_id")], "r", "pi", *rest)
+
+
+def floats(x: pa.Array) -> np.ndarray:
+    return pc.cast(x, pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def phased(codes: DataFrame, gene: list[str], kind: str, max_iter: int = 50, tol: float = 1e-3, seed: int = 42) -> DataFrame:
+    """Rows of each gene's fit by kind: "read" (a, b: hat and its rest), "site" (h_A, h_m) or "gene".
+
+    Columns: gene, id, told, a, b, alpha, ll_alt, ll_null, rounds. told: whether observations at steering
+    sites speak of the read or site. A gene that fails stops the query, with its name.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {c: k.as_py() for c, k in zip(gene, key, strict=True)}
+        try:
+            ((i, reads), (j, sites)), (code, error, told) = gathered(batches, ["Read", "snv_id"], ["r", "pi", "score"])
+            by_name = pc.array_sort_indices(sites).to_numpy()
+            place = np.empty(len(sites), np.int64)
+            place[by_name] = np.arange(len(sites))
+            j, sites = place[j], sites.take(pa.array(by_name))
+            score = np.zeros(len(sites))
+            score[j] = floats(told)
+            code, error = pc.fill_null(code, -1).to_numpy(zero_copy_only=False), floats(error)
+            del told
+            use = last_codes(i, j, code, error, len(sites))
+            observed = (i[use], j[use], code[use], error[use], len(reads), score)
+            del i, j, code, error, use
+            keep = steering(score)
+            start = first_shares(*observed[:3], len(reads), keep, seed)
+            full = phase_observed(*observed, max_iter=max_iter, tol=tol, seed=seed, start=start)
+            null = phase_observed(*observed, max_iter=max_iter, tol=tol, seed=seed, fixed_alpha=0.5, start=start)
+        except Exception as e:
+            raise RuntimeError(f"phasing of {own} failed: {e!r}") from e
+        if kind == "read":
+            values = (reads, full.phasable, full.hat, 1 - full.hat)
+        elif kind == "site":
+            values = (sites, keep & (np.bincount(observed[1], minlength=len(sites)) > 0), full.h, full.marker)
+        else:
+            values = (pa.nulls(1, pa.string()), np.array([full.phasable.any()]), np.zeros(1), np.zeros(1))
+        columns = dict(zip(("id", "told", "a", "b"), (values[0], *map(pa.array, values[1:])), strict=True))
+        yield from in_batches(key, gene, columns, {"alpha": full.alpha, "ll_alt": full.loglik, "ll_null": null.loglik, "rounds": full.rounds})
+
+    schema = f"{key_kinds(codes, gene)}, id string, told boolean, a double, b double, alpha double, ll_alt double, ll_null double, rounds bigint"
+    return with_names(codes, gene, "score").groupBy(*gene).applyInArrow(run, schema)
+
+
 def phase_genes(codes: DataFrame, gene: list[str], max_iter: int = 50, tol: float = 1e-3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(reads, sites) of all genes (C5, M6, M10): two views of one grouped-map kernel.
 
@@ -422,44 +478,46 @@ def phase_genes(codes: DataFrame, gene: list[str], max_iter: int = 50, tol: floa
     ll_alt, ll_null, lrt. A gene that fails stops the query, with its name: no gene is left out.
     codes: gene, Read, snv_id, r, pi and score.
     """
-    given = codes.select(*gene, *[F.col(c).cast("string").alias(c) for c in ("Read", "snv_id")], "r", "pi", "score")
-    kinds = ", ".join(f"`{c}` {codes.schema[c].dataType.simpleString()}" for c in gene)
-    schema = f"{kinds}, id string, phasable int, a double, b double, alpha double, ll_alt double, ll_null double"
-
-    def view(kind: str) -> DataFrame:
-        def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = {c: k.as_py() for c, k in zip(gene, key, strict=True)}
-            try:
-                ((i, reads), (j, sites)), (code, error, told) = gathered(batches, ["Read", "snv_id"], ["r", "pi", "score"])
-                by_name = pc.array_sort_indices(sites).to_numpy()
-                place = np.empty(len(sites), np.int64)
-                place[by_name] = np.arange(len(sites))
-                j, sites = place[j], sites.take(pa.array(by_name))
-                score = np.zeros(len(sites))
-                score[j] = pc.cast(told, pa.float64()).to_numpy(zero_copy_only=False)
-                code, error = pc.fill_null(code, -1).to_numpy(zero_copy_only=False), pc.cast(error, pa.float64()).to_numpy(zero_copy_only=False)
-                del told
-                use = last_codes(i, j, code, error, len(sites))
-                observed = (i[use], j[use], code[use], error[use], len(reads), score)
-                del i, j, code, error, use
-                start = first_shares(*observed[:3], len(reads), steering_sites(score), seed)
-                full = phase_observed(*observed, max_iter=max_iter, tol=tol, seed=seed, start=start)
-                null = phase_observed(*observed, max_iter=max_iter, tol=tol, seed=seed, fixed_alpha=0.5, start=start)
-            except Exception as e:
-                raise RuntimeError(f"phasing of {own} failed: {e!r}") from e
-            common = (min(full.alpha, 1 - full.alpha), full.loglik, null.loglik)
-            if kind == "read":
-                ids, columns = reads, [pa.array(full.phasable.astype(np.int32)), pa.array(full.hat), pa.array(1 - full.hat)]
-            else:
-                ids, columns = sites, [pa.nulls(len(sites), pa.int32()), pa.array(full.h), pa.array(full.marker)]
-            table = pa.table([ids, *columns], names=["id", "phasable", "a", "b"])
-            for part in table.to_batches(max_chunksize=BATCH):
-                same = [pa.repeat(x, part.num_rows) for x in (*key, *common)]
-                yield pa.RecordBatch.from_arrays([*same[: len(gene)], *part.columns, *same[len(gene) :]], [*gene, *part.schema.names, "alpha", "ll_alt", "ll_null"])
-
-        return given.groupBy(*gene).applyInArrow(run, schema)
-
-    none = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
-    reads = view("read").select(*gene, F.col("id").alias("Read"), F.col("phasable").alias("reads_phasable"), F.bround("a", 3).alias("hat_I"), F.bround("b", 3).alias("hat_I_B"))
-    sites = view("site").select(*gene, F.col("id").alias("snv_id"), F.col("a").alias("h_A"), F.col("b").alias("h_m"), none("alpha").alias("alpha_hat"), none("ll_alt").alias("ll_alt"), none("ll_null").alias("ll_null"), F.greatest(F.lit(0.0), 2 * (none("ll_alt") - none("ll_null"))).alias("lrt"))
+    of = lambda kind: phased(codes, gene, kind, max_iter, tol, seed)
+    none = lambda c: F.nanvl(c, F.lit(None).cast("double"))
+    reads = of("read").select(*gene, F.col("id").alias("Read"), F.col("told").cast("int").alias("reads_phasable"), F.bround("a", 3).alias("hat_I"), F.bround("b", 3).alias("hat_I_B"))
+    ll_alt, ll_null = none(F.col("ll_alt")), none(F.col("ll_null"))
+    sites = of("site").select(*gene, F.col("id").alias("snv_id"), F.col("a").alias("h_A"), F.col("b").alias("h_m"), none(least_side("alpha")).alias("alpha_hat"), ll_alt.alias("ll_alt"), ll_null.alias("ll_null"), F.greatest(F.lit(0.0), 2 * (ll_alt - ll_null)).alias("lrt"))
     return reads, sites
+
+
+def least_side(alpha: str) -> Column:
+    return F.least(F.col(alpha), 1 - F.col(alpha))
+
+
+def frozen_shares(codes: DataFrame, by: list[str], kind: str, max_iter: int = 50, tol: float = 1e-3) -> DataFrame:
+    """Groups fitted with their sites held (M7), a group in a task: rows by kind "read" (hat is a) or "gene".
+
+    codes: the group, Read, snv_id, r, pi, h_A, h_m. Columns: the group, id, a, alpha, ll_alt, ll_null, rounds.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {c: k.as_py() for c, k in zip(by, key, strict=True)}
+        try:
+            ((i, reads), (j, sites)), (code, error, *held) = gathered(batches, ["Read", "snv_id"], ["r", "pi", "h_A", "h_m"])
+            frozen = (np.zeros(len(sites)), np.zeros(len(sites)))
+            for to, x in zip(frozen, held, strict=True):
+                to[j] = floats(x)
+            del held, x
+            code, error = pc.fill_null(code, -1).to_numpy(zero_copy_only=False), floats(error)
+            use = last_codes(i, j, code, error, len(sites))
+            observed = (i[use], j[use], code[use], error[use], len(reads), np.zeros(len(sites)))
+            del i, j, code, error, use
+            full = phase_observed(*observed, max_iter=max_iter, tol=tol, frozen=frozen)
+            null = phase_observed(*observed, max_iter=1, fixed_alpha=0.5, frozen=frozen)
+        except Exception as e:
+            raise RuntimeError(f"fit of {own} failed: {e!r}") from e
+        if kind == "read":
+            columns = {"id": reads.filter(pa.array(full.phasable)), "a": pa.array(full.hat[full.phasable])}
+        else:
+            columns = {"id": pa.nulls(1, pa.string()), "a": pa.array(np.zeros(1))}
+        if full.phasable.any():
+            yield from in_batches(key, by, columns, {"alpha": full.alpha, "ll_alt": full.loglik, "ll_null": null.loglik, "rounds": full.rounds})
+
+    schema = f"{key_kinds(codes, by)}, id string, a double, alpha double, ll_alt double, ll_null double, rounds bigint"
+    return with_names(codes, by, "h_A", "h_m").groupBy(*by).applyInArrow(run, schema)

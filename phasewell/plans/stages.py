@@ -181,7 +181,7 @@ def em_fit_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def em_fit_cell_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares by cell type for sites frozen from the one-task fit of each gene; no SQL twin for its rounds."""
-    c = scored_codes(spark, sf_dir)
+    c = written(scored_codes(spark, sf_dir))
     _, sites = phasing.phase_genes(c, ["geneID"])
     cells = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("CellType"))
     reads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("Read"), "o_custkey").join(cells, "o_custkey").select("Read", "CellType")

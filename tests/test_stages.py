@@ -73,6 +73,30 @@ def test_fit_by_aggregations_equals_the_kernel(spark):
         assert math.isclose(got.ll_alt, full.loglik, abs_tol=1e-5) and math.isclose(got.ll_null, null.loglik, abs_tol=1e-5)
 
 
+def test_fit_in_tasks_equals_fit_by_rounds(spark):
+    """One gene above the limit of a task, one below; a third has no code, and no row."""
+    rows = [x for x in simulated() if x[0] == "g0" or int(x[1][1:]) < 20] + [("g9", "r1", "s1", -1, 0.1, 0.5, "x")]
+    codes = spark.createDataFrame(rows, "geneID string, Read string, snv_id string, r int, pi double, score double, CellType string").repartition(4)
+    sizes = {g: sum(x[0] == g for x in rows) for g in ("g0", "g1")}
+    assert sizes["g1"] < 150 < sizes["g0"]
+    tables = []
+    for most in (0, 150, 10**6):
+        bulk = fit.fit_bulk(codes.drop("CellType"), ["geneID"], most, max_iter=2)
+        by_type = fit.fit_cell_types(codes, bulk[1], ["geneID"], in_task=most // 2, max_iter=2)
+        tables.append([x.toPandas().sort_values(x.columns[:2] if x.columns[1] in ("Read", "snv_id") else x.columns[0]).reset_index(drop=True) for x in bulk] + [by_type[0].toPandas().sort_values(["geneID", "CellType", "Read"]).reset_index(drop=True), by_type[1].toPandas().sort_values(["geneID", "CellType"]).reset_index(drop=True)])
+    for other in tables[1:]:
+        for a, b in zip(tables[0], other, strict=True):
+            assert set(a["geneID"]) == {"g0", "g1"}
+            pd.testing.assert_frame_equal(a, b[a.columns], rtol=0, atol=1e-5, check_dtype=True)
+
+
+def test_genes_that_fit_a_task_need_no_rounds(spark, monkeypatch):
+    codes = spark.createDataFrame(simulated(reads=20), "geneID string, Read string, snv_id string, r int, pi double, score double, CellType string")
+    monkeypatch.setattr(fit, "fit", None)
+    _, sites, genes = fit.fit_bulk(codes.drop("CellType"), ["geneID"])
+    assert genes.count() == 2 and fit.fit_cell_types(codes, sites, ["geneID"])[1].count() == 4
+
+
 def test_site_update_minimises_the_mixture():
     """M4: the share found is where -sum log(z/2 emission + (1 - z) noise) is least, by a fine grid."""
     r = np.random.default_rng(3)
