@@ -357,6 +357,27 @@ def test_observed_events_against_all_pairs(spark):
     assert all(any(v[h, x] > 0 for k, v in want.items() if k[1] == kind) for kind in ("exon", "junction") for h in "AB" for x in ("include", "skip", "unobserved"))
 
 
+def test_equal_alignments_are_judged_once(spark):
+    """Fifty copies of reads weigh fifty times, but no more is judged; reads don't meet events one by one."""
+    iv = "array<struct<s:bigint,e:bigint>>"
+    shapes = {"one": ([(0, 100)], []), "two": ([(0, 60), (160, 300)], [(60, 160)]), "gap": ([(0, 60), (64, 90), (160, 300)], [(90, 160)])}
+    events = spark.createDataFrame([("g", t, s, s + n) for t in ("exon", "junction") for s in range(0, 300, 7) for n in (5, 40, 100)] + [("g", "junction", 80, 60)], "geneID string, event_type string, s bigint, e bigint")
+
+    def judged(copies: int):
+        names = [(f"{k}{i}", k) for k in shapes for i in range(copies)]
+        reads = spark.createDataFrame([("g", n, "xy"[k == "two"], 0.75, 0.25) for n, k in names], "geneID string, Read string, CellType string, hat_I double, hat_I_B double")
+        blocks = spark.createDataFrame([("g", n, *shapes[k]) for n, k in names], f"geneID string, Read string, blocks {iv}, introns {iv}")
+        by = ["geneID", "CellType"]
+        out = observed.observed_events(reads, blocks, events, by)
+        assert "Read#" not in out._jdf.queryExecution().optimizedPlan().toString()
+        rows = observed.block_shapes(reads, blocks, by).count()
+        return {tuple(x)[:5]: np.array(tuple(x)[5:]) for x in out.collect()}, rows
+
+    (one, few), (many, same) = judged(1), judged(50)
+    assert few == same == 3 and one.keys() == many.keys()
+    assert all(np.allclose(many[k], 50 * one[k]) for k in one) and sum(one.values()).min() > 0
+
+
 def test_raw_validation_against_plain_loops(spark):
     r = random.Random(12)
     isoforms = {"i1": {("exon", 0, 50), ("junction", 50, 90)}, "i2": {("exon", 0, 50), ("exon", 60, 80)}, "i3": {("exon", 200, 240)}}
