@@ -74,8 +74,9 @@ def balance_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM input; of a read's rows with the same line number at a site the first in the table counts."""
     b = bases(spark, sf_dir)
-    return pileup.em_input(b, pileup.alt_vote(b, ["geneID", "pos"]), ["geneID", "pos"], ["nth"])
+    return pileup.em_input(b, pileup.alt_vote(b, ["geneID", "pos"]), ["geneID", "pos"], [c for c in ("nth", "file", "row") if c in b.columns])
 
 
 SQL_VOTE = f"{SQL_BASES}, v AS (SELECT gene, pos, base, count(*) AS votes, avg(power(10.0, -q / 10)) AS err FROM bases WHERE base <> 'N' GROUP BY ALL), a AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY gene, pos ORDER BY votes DESC, err, base) = 1)"

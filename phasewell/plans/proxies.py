@@ -7,7 +7,7 @@ cell type = market segment.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,17 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("geneID"), F.col("p_type").alias("Isoform"), F.col("p_size").alias("size"))
 
 
+def places(df: DataFrame) -> list[Column]:
+    """What tells the rows of a table of files apart, in their order: the file's name, if there are several, and the row's number there."""
+    row = F.col("_metadata.row_index").alias("row")
+    return [row] if len(df.inputFiles()) == 1 else [F.col("_metadata.file_path").alias("file"), row]
+
+
 def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observed bases: pos, geneID, Read, base, ref, baseq, nth."""
+    """Observed bases: pos, geneID, Read, base, ref, baseq, nth, and the row's place in its table: row, or file and row."""
     base = F.when(F.col("l_returnflag") == "N", "N").otherwise(F.col("l_returnflag"))
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pos"), F.col("l_orderkey").alias("Read"), base.alias("base"), F.lit("N").alias("ref"), F.col("l_quantity").alias("baseq"), F.col("l_linenumber").alias("nth"))
+    items = table(spark, sf_dir, "lineitem")
+    line = items.select(F.col("l_partkey").alias("pos"), F.col("l_orderkey").alias("Read"), base.alias("base"), F.lit("N").alias("ref"), F.col("l_quantity").alias("baseq"), F.col("l_linenumber").alias("nth"), *places(items))
     return line.join(parts(spark, sf_dir).select("pos", "geneID"), "pos")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from phasewell.functions import tests_of_fit
 from phasewell.functions.intervals import judge_event
 from phasewell.operators import assembly, calling, chain, features, fit, observed, phasing, switching, validation
+from phasewell.plans import catalog
 from phasewell.sources import matrices
 
 
@@ -73,6 +74,22 @@ def test_fit_by_aggregations_equals_the_kernel(spark):
         assert math.isclose(got.ll_alt, full.loglik, abs_tol=1e-5) and math.isclose(got.ll_null, null.loglik, abs_tol=1e-5)
 
 
+@pytest.mark.parametrize("files", [1, 2])
+def test_equal_line_numbers_take_the_tables_order(spark, tmp_path, files):
+    """The first of a read's rows with one line number counts, though the later rows lie in a larger file that is read first."""
+    keys = list(range(400))
+    line = "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_returnflag string, l_quantity double"
+    spark.createDataFrame([(k, f"Brand#{k % 3}", "T", 1) for k in keys], "p_partkey bigint, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    first, second = [(k, k, 1, "A", 20.0) for k in keys], [(k, k, 1, "N", 30.0) for k in keys]
+    more = [(1000 + i, keys[i % 400], 1, "R", 10.0) for i in range(4000)]
+    (tmp_path / "lineitem.parquet").mkdir()
+    for n, rows in enumerate([first + second + more] if files == 1 else [first, second + more]):
+        frame = pd.DataFrame(rows, columns=[x.split()[0] for x in line.split(", ")]).astype({"l_linenumber": "int32"})
+        frame.to_parquet(tmp_path / "lineitem.parquet" / f"{n}.parquet", row_group_size=300)
+    codes = catalog.QUERIES["em_input_codes"](spark, str(tmp_path)).where("Read < 1000").toPandas()
+    assert len(codes) == 400 and (codes["pi"] == 0.01).all() and (codes["r"] == 2).all()
+
+
 def test_fit_in_tasks_equals_fit_by_rounds(spark):
     """One gene above the limit of a task, one below; a third has no code, and no row."""
     rows = [x for x in simulated() if x[0] == "g0" or int(x[1][1:]) < 20] + [("g9", "r1", "s1", -1, 0.1, 0.5, "x")]
